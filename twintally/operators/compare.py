@@ -59,6 +59,7 @@ class Comparison:
     b: DataFrame
     profile: KeyProfile
     _same: Callable[[Column], Column]
+    _staged: DataFrame | None = None
 
     def pairs(self) -> DataFrame:
         """Paired rows: key, then ``c__a`` and ``c__b`` per value column."""
@@ -83,6 +84,16 @@ class Comparison:
             return sides[0] != sides[1]
         return reduce(operator.or_, map(self._differs, self.values), F.lit(False))
 
+    def differing(self) -> DataFrame:
+        """The pairs that differ; every report on differences starts from these."""
+        return self.pairs().where(self._row_differs()) if self._staged is None else self._staged
+
+    def materialize(self) -> Comparison:
+        """Write the differing pairs once, for use by several reports."""
+        if self._staged is None:
+            self._staged = stage(self.differing(), "differing")
+        return self
+
     def _wide(self, pairs: DataFrame) -> DataFrame:
         shown = [col(k) for k in self.key]
         for c in self.values:
@@ -92,7 +103,7 @@ class Comparison:
 
     def diff_rows(self) -> DataFrame:
         """Paired rows that differ, with the numeric difference per column."""
-        return self._wide(self.pairs().where(self._row_differs()))
+        return self._wide(self.differing())
 
     def diff_cells(self) -> DataFrame:
         """One row per differing cell: key, column, a, b, num_diff."""
@@ -103,8 +114,7 @@ class Comparison:
             ]
         )
         differing = F.filter(cells, lambda x: self._same(x.a) != self._same(x.b))
-        rows = self.pairs().where(self._row_differs())
-        return rows.select(*map(col, self.key), F.inline(differing)).withColumn(
+        return self.differing().select(*map(col, self.key), F.inline(differing)).withColumn(
             "num_diff", num_diff(F.col("a"), F.col("b"))
         )
 
@@ -114,7 +124,7 @@ class Comparison:
 
     def diff_rows_top(self, limit: int = DIFF_ROW_LIMIT) -> DataFrame:
         """The first ``limit`` differing rows by key, then by the values of a and b."""
-        return self._wide(self.pairs().where(self._row_differs()).orderBy(*self._order()).limit(limit))
+        return self._wide(self.differing().orderBy(*self._order()).limit(limit))
 
     def only_a_top(self, limit: int = ONLY_ROW_LIMIT) -> DataFrame:
         return _first_rows(self.only_a(), self.key, limit)
@@ -126,10 +136,10 @@ class Comparison:
 
     def _totals(self) -> DataFrame:
         """Differing pairs per value column position, and per row under -1."""
-        pairs = self.pairs()
+        rows = self.differing()
         if len(self.values) <= WIDE_COLUMNS:
-            counted = pairs.agg(
-                F.count_if(self._row_differs()).alias("d_row"),
+            counted = rows.agg(
+                F.count("*").alias("d_row"),
                 *[F.count_if(self._differs(c)).alias(f"d_{i}") for i, c in enumerate(self.values)],
             )
             positions = [(_ROW, "d_row")] + [(i, f"d_{i}") for i in range(len(self.values))]
@@ -139,7 +149,7 @@ class Comparison:
             return counted.select(F.inline(per_position))
         flags = F.array(*[F.when(self._differs(c), i) for i, c in enumerate(self.values)])
         differing = F.concat(F.array(F.lit(_ROW)), F.array_compact(flags))
-        cells = pairs.where(self._row_differs()).select(F.explode(differing).alias("pos"))
+        cells = rows.select(F.explode(differing).alias("pos"))
         return cells.groupBy("pos").agg(F.count("*").cast(_PAIRS).alias("n"))
 
     def counts(self) -> DataFrame:
@@ -361,7 +371,7 @@ class KeyedComparison(Comparison):
         return light.unionByName(every).unionByName(equal)
 
     def diff_rows_top(self, limit: int = DIFF_ROW_LIMIT) -> DataFrame:
-        light = self.pairs().where(self._row_differs())
+        light = self.differing()
         if self.profile.heavy_keys and self.values:
             light = light.orderBy(*self._order()).limit(limit).unionByName(self._heavy_top(limit))
         return self._wide(light.orderBy(*self._order()).limit(limit))
@@ -455,6 +465,26 @@ class PositionalComparison(Comparison):
         return super().summary().withColumn("cols_common", F.col("cols_common") - both_have_it)
 
 
+def compare(
+    a: DataFrame,
+    b: DataFrame,
+    key: Sequence[str] = (),
+    order_by: Sequence[str] = (),
+    **options: bool,
+) -> Comparison:
+    """Compare by key, or by position along ``order_by`` when there is no key.
+
+    The search for a key is ``detect_key(a, b)``. Options: ``cleaned`` when the
+    values are normalised already, ``keep_original`` to report values as they came
+    while comparing them normalised, ``unique_order`` when ``order_by`` has no ties.
+    """
+    if key:
+        return KeyedComparison(a, b, key, **options)
+    if not order_by:
+        raise ValueError("without a key the order of the rows has to be given")
+    return PositionalComparison(a, b, order_by, **options)
+
+
 def count_sides(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows per group on either side, without a join: tag, union, count."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
