@@ -123,10 +123,16 @@ NATION = Pair(
 )
 
 
+_tables: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views over the tables of one scale factor."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    """Temporary views over the tables of one scale factor; files are looked up once."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _tables:
+        _tables[known] = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+    for name, df in _tables[known].items():
+        df.createOrReplaceTempView(name)
 
 
 def sides(spark: SparkSession, sf_dir: str, pair: Pair) -> tuple[DataFrame, DataFrame]:

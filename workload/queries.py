@@ -51,7 +51,7 @@ def add_keyed(pair: Pair, suffix: str) -> None:
     add(f"diff_counts{suffix}", compared(pair, lambda c: c.counts()), sql.diff_counts(pair))
     add(f"column_summary{suffix}", compared(pair, lambda c: c.column_summary()), sql.column_summary(ctes, values))
     add(f"diff_rows{suffix}", compared(pair, lambda c: c.diff_rows()), rows)
-    add(f"diff_rows_top{suffix}", compared(pair, lambda c: c.diff_rows_top(TOP_ROWS)), sql.top(rows, key, values, TOP_ROWS))
+    add(f"diff_rows_top{suffix}", compared(pair, lambda c: c.diff_rows_top(TOP_ROWS)), sql.diff_rows(ctes, key, values, TOP_ROWS))
     add(f"diff_cells{suffix}", compared(pair, lambda c: c.diff_cells()), sql.diff_cells(ctes, key, values))
     add(f"only_a{suffix}", compared(pair, lambda c: c.only_a()), a)
     add(f"only_b{suffix}", compared(pair, lambda c: c.only_b()), b)
@@ -88,7 +88,7 @@ GROUP BY 1, 2, 3, 4""",
 add(
     "diff_rows_top_hot",
     compared(SUPPLIED, lambda c: c.diff_rows_top(TOP_ROWS)),
-    sql.top(sql.diff_rows(sql.keyed(SUPPLIED), SUPPLIED.key, SUPPLIED.values), SUPPLIED.key, SUPPLIED.values, TOP_ROWS),
+    sql.diff_rows(sql.keyed(SUPPLIED), SUPPLIED.key, SUPPLIED.values, TOP_ROWS),
 )
 
 

@@ -72,17 +72,16 @@ FROM (SELECT count(*) AS n_total, count(*) FILTER ({c}__a <> {c}__b) AS n_diff F
     return ctes + "\n" + "\nUNION ALL ".join(parts)
 
 
-def diff_rows(ctes: str, key: Sequence[str], values: Sequence[str]) -> str:
+def diff_rows(ctes: str, key: Sequence[str], values: Sequence[str], limit: int | None = None) -> str:
     shown = list(key)
     for c in values:
         a, b = f"{c}__a", f"{c}__b"
         shown += [a, b, f"{num_diff(a, b)} AS {c}__num_diff"]
-    return f"{ctes}\nSELECT {', '.join(shown)} FROM j WHERE {differs(values)}"
-
-
-def top(sql: str, key: Sequence[str], values: Sequence[str], limit: int) -> str:
-    order = [*key, *(f"{c}__a" for c in values), *(f"{c}__b" for c in values)]
-    return f"{sql} ORDER BY {', '.join(order)} LIMIT {limit}"
+    rows = f"SELECT * FROM j WHERE {differs(values)}"
+    if limit is not None:
+        order = [*key, *(f"{c}__a" for c in values), *(f"{c}__b" for c in values)]
+        rows += f" ORDER BY {', '.join(order)} LIMIT {limit}"
+    return f"{ctes}\nSELECT {', '.join(shown)} FROM ({rows})"
 
 
 def diff_cells(ctes: str, key: Sequence[str], values: Sequence[str]) -> str:
