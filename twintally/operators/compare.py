@@ -113,6 +113,8 @@ class Comparison:
                 for c in self.values
             ]
         )
+        if not self.values:
+            cells = F.array().cast("array<struct<column:string,a:string,b:string>>")
         differing = F.filter(cells, lambda x: self._same(x.a) != self._same(x.b))
         return self.differing().select(*map(col, self.key), F.inline(differing)).withColumn(
             "num_diff", num_diff(F.col("a"), F.col("b"))
@@ -176,6 +178,8 @@ class Comparison:
                 for i, c in enumerate(self.values)
             ]
         )
+        if not self.values:
+            per_column = F.array().cast("array<struct<position:int,column:string,n_diff:bigint>>")
         n_diff, total = F.col("n_diff"), F.lit(self.profile.matched).cast("bigint")
         return counts.select(F.inline(per_column)).select(
             "position",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintally.functions.text import col, text
@@ -17,9 +17,17 @@ MAX_KEY_COLUMNS = 4
 UNIQUE_ENOUGH = 0.999
 TOO_AMBIGUOUS = 0.5
 
-# Combinations counted in one job; every row becomes that many short rows.
+# Combinations counted in one job; every row becomes that many short rows. The
+# first jobs of a search are small, since an early combination often ends it.
+FIRST_COMBINATIONS = 2
 COMBINATIONS_PER_JOB = 16
 
+# A table of up to this many rows may well sit in one file that cannot be split; it
+# is dealt out evenly before its rows are multiplied. Larger ones have many splits.
+SPREAD_ROWS = 20_000_000
+ROWS_PER_TASK = 20_000
+SPREAD_COMBINATIONS = 5
+
 
 def distinct_counts(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]], skip_null: bool = False) -> DataFrame:
     """Exact number of distinct value tuples per combination and side.
@@ -32,7 +40,7 @@ def distinct_counts(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]],
         *[
             F.struct(
                 F.lit(i).alias("combo"),
-                F.array(*[col(c).cast("string") if skip_null else text(col(c)) for c in combo]).alias("v"),
+                _tuple_text(combo, skip_null).alias("v"),
             )
             for i, combo in enumerate(combos)
         ]
@@ -40,19 +48,42 @@ def distinct_counts(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]],
     sides = [df.select(F.lit(side).alias("side"), F.inline(tuples)) for side, df in (("a", a), ("b", b))]
     rows = sides[0].unionByName(sides[1])
     if skip_null:
-        rows = rows.where(~F.exists("v", F.isnull))
+        rows = rows.where(F.col("v").isNotNull())
     counted = rows.distinct().groupBy("combo", "side").count()
     return counted.groupBy("combo").agg(
         *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("count"))), F.lit(0)).alias(f"distinct_{s}") for s in "ab"]
     )
 
 
+def _spread(df: DataFrame, rows: int, combos: int) -> DataFrame:
+    if combos < SPREAD_COMBINATIONS:
+        return df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK)
+    return df.repartition(tasks) if tasks > 1 and rows <= SPREAD_ROWS else df
+
+
+def _tuple_text(combo: Sequence[str], skip_null: bool) -> Column:
+    """A value tuple as one text. The length before every value but the last keeps
+    different tuples apart; one text is cheaper to group by than an array."""
+    values = [col(c).cast("string") if skip_null else text(col(c)) for c in combo]
+    parts = [p for v in values[:-1] for p in (F.char_length(v).cast("string"), F.lit(":"), v)]
+    return F.concat(*parts, values[-1])
+
+
+def _growing(combos: Sequence[tuple[str, ...]], start: int = FIRST_COMBINATIONS) -> Iterator[list[tuple[str, ...]]]:
+    """Slices of 2, 4, 8, ... combinations up to the number per job."""
+    at, size = 0, start
+    while at < len(combos):
+        yield list(combos[at : at + size])
+        at, size = at + size, min(size * 2, COMBINATIONS_PER_JOB)
+
+
 def key_uniqueness(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]]) -> DataFrame:
     """Uniqueness of column combinations: distinct share per side and their mean."""
     rows_a, rows_b = a.count(), b.count()
     names = F.element_at(F.array(*[F.lit(",".join(c)) for c in combos]), F.col("combo") + 1)
     shares = [F.col(f"distinct_{s}") / F.lit(max(n, 1)) for s, n in (("a", rows_a), ("b", rows_b))]
-    return distinct_counts(a, b, combos).select(
+    return distinct_counts(_spread(a, rows_a, len(combos)), _spread(b, rows_b, len(combos)), combos).select(
         names.alias("columns"),
         "distinct_a",
         "distinct_b",
@@ -71,7 +102,8 @@ class _Counter:
         self.known: dict[tuple[str, ...], tuple[int, int]] = {}
 
     def count(self, combos: Sequence[tuple[str, ...]], skip_null: bool = False) -> None:
-        for row in distinct_counts(self.a, self.b, combos, skip_null).collect():
+        sides = [_spread(df, n, len(combos)) for df, n in zip((self.a, self.b), self.rows)]
+        for row in distinct_counts(*sides, combos, skip_null).collect():
             self.known[combos[row["combo"]]] = (row["distinct_a"], row["distinct_b"])
         for combo in combos:
             self.known.setdefault(combo, (0, 0))
@@ -107,22 +139,17 @@ def detect_key(
     if sample_rows is not None:
         a, b = a.limit(sample_rows), b.limit(sample_rows)
     counter = _Counter(a, b)
-    singles, every = [(c,) for c in common], tuple(common)
-    for start in range(0, len(singles), COMBINATIONS_PER_JOB):
-        counter.count(singles[start : start + COMBINATIONS_PER_JOB])
-    counter.count([every])
-    ceiling = counter.score(counter.known[every])
-
-    best, best_score = (), -1.0
+    best, best_score, ceiling = (), -1.0, 1.0
     for size in range(1, min(max_columns, len(common)) + 1):
-        waiting = list(combinations(common, size))
-        while waiting and best_score < ceiling:
-            batch: list[tuple[str, ...]] = []
-            while waiting and len(batch) < COMBINATIONS_PER_JOB:
-                combo = waiting.pop(0)
-                if counter.score([counter.at_most(combo, 0), counter.at_most(combo, 1)]) > best_score:
-                    batch.append(combo)
-            fresh = [combo for combo in batch if combo not in counter.known]
+        if size == 2:
+            counter.count([tuple(common)])
+            ceiling = counter.score(counter.known[tuple(common)])
+        for batch in _growing(list(combinations(common, size))):
+            if size > 1:
+                batch = [c for c in batch if best_score < counter.score([counter.at_most(c, s) for s in (0, 1)])]
+            fresh = [c for c in batch if c not in counter.known]
+            if best_score >= ceiling:
+                break
             if fresh:
                 counter.count(fresh)
             for combo in batch:
@@ -144,21 +171,18 @@ def detect_key_strict(a: DataFrame, b: DataFrame) -> list[str]:
         return []
     a, b = (df.select(*map(col, common)) for df in (a, b))
     counter = _Counter(a, b)
-    singles = [(c,) for c in common]
-    for start in range(0, len(singles), COMBINATIONS_PER_JOB):
-        counter.count(singles[start : start + COMBINATIONS_PER_JOB], skip_null=True)
-    for combo in singles:
-        if counter.known[combo] == counter.rows:
-            return list(combo)
+    for batch in _growing([(c,) for c in common]):
+        counter.count(batch, skip_null=True)
+        for combo in batch:
+            if counter.known[combo] == counter.rows:
+                return list(combo)
     # Nulls, left out above, may add one tuple per column.
-    with_null = {c: tuple(n + 1 for n in n_) for c, n_ in counter.known.items()}
     pairs = [
         pair
         for pair in combinations(common, 2)
-        if all(prod(with_null[(c,)][side] for c in pair) >= counter.rows[side] for side in (0, 1))
+        if all(prod(counter.known[(c,)][side] + 1 for c in pair) >= counter.rows[side] for side in (0, 1))
     ]
-    for start in range(0, len(pairs), COMBINATIONS_PER_JOB):
-        batch = pairs[start : start + COMBINATIONS_PER_JOB]
+    for batch in _growing(pairs):
         counter.count(batch)
         for pair in batch:
             if counter.known[pair] == counter.rows:

@@ -53,6 +53,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, sample_rows
     per column and task, whatever the number of rows or columns.
     """
     columns = list(df.columns if columns is None else columns)
+    names = _schema_frame(df, columns)
+    if not columns:
+        return names.withColumn("type", F.lit(EMPTY))
     if sample_rows is not None:
         df = df.limit(sample_rows)
     values = F.array(
@@ -79,7 +82,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, sample_rows
         .when(F.col("one_format") & (F.col("n_date") + F.col("n_blank") == F.col("n")), DATE)
         .otherwise(TEXT)
     )
-    return _schema_frame(df, columns).join(counted, "position", "left").select(
+    return names.join(counted, "position", "left").select(
         "position", "column", inferred.alias("type")
     )
 

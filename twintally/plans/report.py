@@ -103,13 +103,13 @@ def pair_reports(comparison: Comparison, label: str, name_a: str, name_b: str, *
         "column_structure": _structure(comparison),
         "column_summary": comparison.column_summary(counts),
         "diff_rows": comparison.diff_rows(),
-        "diff_cells": comparison.diff_cells() if comparison.values else None,
+        "diff_cells": comparison.diff_cells(),
         "only_a": comparison.only_a(),
         "only_b": comparison.only_b(),
     }
     if isinstance(comparison, KeyedComparison) and comparison.profile.heavy_keys:
         reports["diff_groups"] = comparison.diff_groups()
-    return {name: df for name, df in reports.items() if df is not None and df.columns}
+    return {name: df for name, df in reports.items() if df.columns}
 
 
 def _structure(comparison: Comparison) -> DataFrame:

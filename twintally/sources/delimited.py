@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -186,7 +188,7 @@ def read_delimited(
     in_order = F.struct(*LINE_ORDER)
     first = staged.where("_kind = 'header'").agg(F.min(in_order).alias("first")).first()["first"]
     # A data row may repeat the header text; only its first occurrence is the header.
-    is_first = in_order == F.struct(*[F.lit(v) for v in first]) if first else F.lit(False)
+    is_first = reduce(and_, [F.col(c) == F.lit(first[c]) for c in LINE_ORDER]) if first else F.lit(False)
     is_row = F.col("_kind").isin("row", "header") & ~is_first
     counted = staged.where((F.col("_kind") != "blank") & ~is_first)
     return Delivery(
