@@ -17,8 +17,6 @@ from twintally.sources.staging import stage
 
 # A key with more rows than this on both sides is not paired row by row.
 HEAVY_ROWS = 32
-# Up to this many heavy keys are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 10_000
 # A full outer join is not split by adaptive execution, so it is used only while
 # no key has more rows than this on either side.
 FULL_OUTER_ROWS = 100_000
@@ -282,8 +280,8 @@ class KeyedComparison(Comparison):
 
     @cached_property
     def _heavy_keys(self) -> DataFrame:
-        keys = stage(self.key_counts().where(self._is_heavy()).select(*self._keys), "heavy-keys")
-        return F.broadcast(keys) if self.profile.heavy_keys <= BROADCAST_KEYS else keys
+        # Written, so that Spark knows the size: it broadcasts few keys and shuffles many.
+        return stage(self.key_counts().where(self._is_heavy()).select(*self._keys), "heavy-keys")
 
     def _light(self, side: DataFrame) -> DataFrame:
         if not self.profile.heavy_keys:

@@ -1,7 +1,9 @@
 """Decisions about delimited files, taken for many files in one job.
 
 Input is a lines table ``(file, line_no, value)``. Every operator groups by file
-with partial aggregation, so one huge file spreads over all tasks.
+with partial aggregation, so one huge file spreads over all tasks. Decisions have
+one row per file and are staged: they are taken once, and since Spark knows the
+size of a written table it can join them to the lines without moving the lines.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintally.functions.text import ASCII_SPACE, NBSP, VALUE_PREFIXES, occurrences, strip
+from twintally.sources.staging import stage
 
 # Separators in order of priority, and what decides between them.
 SEPARATORS = [";|", ";£", "£|", "|;", "\t", ";", ",", "|", "£"]
@@ -86,7 +89,7 @@ def separator_scores(
         found = found.where(~F.col("sep").isin(SEPARATORS)).select(
             "file", F.array(F.struct(F.lit(0).alias("priority"), "sep")).alias("found")
         )
-        sniffed = sniffed.join(found, "file", "left")
+        sniffed = sniffed.join(stage(found, "compound"), "file", "left")
         listed = F.concat(F.coalesce("found", F.expr("array()")), listed)
     counts = F.transform(
         listed,
@@ -113,9 +116,10 @@ def detect_separators(
         F.max(F.struct("score", -F.col("priority"), "sep")).alias("best")
     )
     files = lines.select("file").distinct()
-    return files.join(best, "file", "left").select(
+    chosen = files.join(best, "file", "left").select(
         "file", F.coalesce("best.sep", F.lit(DEFAULT_SEPARATOR)).alias("sep")
     )
+    return stage(chosen, "separators")
 
 
 # -- fields ----------------------------------------------------------------
@@ -180,7 +184,7 @@ def first_lines(lines: DataFrame) -> DataFrame:
     """First non-blank line per file."""
     # A minimum of numbers, then a lookup: cheaper than carrying texts through an aggregate.
     numbers = lines.where(~is_blank(F.col("value"))).groupBy("file").agg(F.min("line_no").alias("line_no"))
-    return lines.join(numbers, ["file", "line_no"])
+    return lines.join(stage(numbers, "first-lines"), ["file", "line_no"])
 
 
 def detect_headers(lines: DataFrame, separators: DataFrame, legacy: bool = False) -> DataFrame:
@@ -189,9 +193,10 @@ def detect_headers(lines: DataFrame, separators: DataFrame, legacy: bool = False
     tested = first_lines(lines).join(separators, "file").select(
         "file", is_header(F.col("value"), sep, legacy).alias("has_header")
     )
-    return separators.select("file").join(tested, "file", "left").select(
+    decided = separators.select("file").join(tested, "file", "left").select(
         "file", F.coalesce("has_header", F.lit(not legacy)).alias("has_header")
     )
+    return stage(decided, "headers")
 
 
 # -- line checks -----------------------------------------------------------
@@ -199,7 +204,7 @@ def detect_headers(lines: DataFrame, separators: DataFrame, legacy: bool = False
 
 def expected_widths(lines: DataFrame, separators: DataFrame, headers: DataFrame, quote: str | None = '"') -> DataFrame:
     """Fields a line may have: those of the first line, or of the first data line if more."""
-    first = first_lines(lines)
+    first = stage(first_lines(lines), "first-lines")
     after = lines.join(first.select("file", F.col("line_no").alias("_first")), "file").where(
         F.col("line_no") > F.col("_first")
     )
@@ -208,9 +213,10 @@ def expected_widths(lines: DataFrame, separators: DataFrame, headers: DataFrame,
     sep_header = separators.join(headers, "file")
     firsts = first.join(sep_header, "file").select("file", width.alias("_w1"), "has_header")
     seconds = second.join(separators, "file").select("file", width.alias("_w2"))
-    return firsts.join(seconds, "file", "left").select(
+    widths = firsts.join(seconds, "file", "left").select(
         "file", F.when(F.col("has_header"), F.greatest("_w1", "_w2")).otherwise(F.col("_w1")).alias("expected")
     )
+    return stage(widths, "widths")
 
 
 def too_long(parts: Column, expected: Column | int) -> Column:

@@ -33,7 +33,9 @@ _LONGEST_DATE = 19
 
 def _date_format(v: Column) -> Column:
     """Number of the format the text has the shape of, else null."""
-    shape = F.when(F.char_length(v) > _LONGEST_DATE, F.lit(None))
+    # Most texts are ruled out without a pattern: every format is short and starts with a digit.
+    ruled_out = (F.char_length(v) > _LONGEST_DATE) | ~F.substring(v, 1, 1).between("0", "9")
+    shape = F.when(ruled_out, F.lit(None))
     for i, (pattern, _) in enumerate(DATE_FORMATS):
         shape = shape.when(v.rlike(pattern), F.lit(i))
     return shape

@@ -50,6 +50,7 @@ def compare_deliveries(
     key: Sequence[str] | None = None,
     row_filter: Mapping[str, str] | None = None,
     strict: bool = False,
+    key_sample_rows: int | None = None,
 ) -> tuple[Comparison, list[str]]:
     """Compare two parsed files by the given or detected key, else line by line."""
     ordered, missing = [], []
@@ -59,14 +60,14 @@ def compare_deliveries(
         missing += [f"{side.name}: {name}" for name in absent]
     rows = [df.drop(*LINE_ORDER) for df in ordered]
     if key is None:
-        key = detect_key_strict(*rows) if strict else detect_key(*rows)
+        key = detect_key_strict(*rows) if strict else detect_key(*rows, sample_rows=key_sample_rows)
     if key:
         return compare(*rows, key=key, cleaned=True), missing
     return compare(*ordered, order_by=LINE_ORDER, cleaned=True, unique_order=True), missing
 
 
-def _compare_pair(spark, label, a, b, out, format, key, row_filter, strict) -> PairResult:
-    comparison, _ = compare_deliveries(a, b, key, row_filter, strict)
+def _compare_pair(spark, label, a, b, out, format, key=None, row_filter=None, strict=False, sample=None) -> PairResult:
+    comparison, _ = compare_deliveries(a, b, key, row_filter, strict, sample)
     reports = pair_reports(comparison, label, a.name, b.name, row_filter=row_filter)
     write_reports(reports, out, label, format)
     written = spark.read.format(format).options(header="true", inferSchema="true").load
@@ -110,6 +111,7 @@ def run(
     key: Sequence[str] | None = None,
     row_filter: Mapping[str, str] | None = None,
     how: str = "left",
+    key_sample_rows: int | None = None,
     format: str = "parquet",
     parallel: int = PARALLEL_PAIRS,
     on_progress: Progress | None = None,
@@ -117,7 +119,8 @@ def run(
     """Compare all pairs of files under two paths, write every report below ``out``
     and return the issue records.
 
-    A pair that fails is recorded with its error and does not stop the others.
+    A pair that fails is recorded with its error and does not stop the others. The
+    key is searched on whole files unless ``key_sample_rows`` limits the search.
     """
     listed = match_files(list_sources(spark, a_path), list_sources(spark, b_path), how)
     rows = listed.orderBy("label", "path_a", "path_b").collect()
@@ -128,7 +131,7 @@ def run(
         label, row = pair
         try:
             a, b = (read_delimited(spark, row[f"path_{s}"], sep=sep) for s in "ab")
-            return _compare_pair(spark, label, a, b, out, format, key, row_filter, strict=False)
+            return _compare_pair(spark, label, a, b, out, format, key, row_filter, sample=key_sample_rows)
         except Exception as error:  # any failure belongs to its pair
             return PairResult(label, failed_record(spark, label, row["name_a"], row["name_b"], str(error)))
 
@@ -211,7 +214,7 @@ def run_families(
                 else _empty(spark, names[s])
                 for s in "ab"
             )
-            return _compare_pair(spark, label, a, b, out, format, None, None, strict=True)
+            return _compare_pair(spark, label, a, b, out, format, strict=True)
         except Exception as error:  # any failure belongs to its pair
             return PairResult(label, failed_record(spark, label, names["a"], names["b"], str(error)), error=str(error))
 

@@ -62,14 +62,14 @@ SELECT count(*) AS n_both, (SELECT count(*) FROM ({missing(pair, 'a', 'b')})) AS
 
 
 def column_summary(ctes: str, values: Sequence[str], is_key: str = "No") -> str:
+    counts = ", ".join(f"count(*) FILTER ({c}__a <> {c}__b) AS d{i}" for i, c in enumerate(values))
     parts = [
-        f"""SELECT {i + 1} AS position, '{c}' AS "column", '{is_key}' AS is_key, n_total - n_diff AS n_equal, n_diff, n_total,
-       n_diff / n_total * 100 AS pct_diff, printf('%.1f%%', n_diff / n_total * 100) AS pct_text,
-       CASE WHEN n_diff = 0 THEN 'OK' ELSE 'DIFFERENZE' END AS status
-FROM (SELECT count(*) AS n_total, count(*) FILTER ({c}__a <> {c}__b) AS n_diff FROM j)"""
+        f"""SELECT {i + 1} AS position, '{c}' AS "column", '{is_key}' AS is_key, n - d{i} AS n_equal, d{i} AS n_diff, n AS n_total,
+       d{i} / n * 100 AS pct_diff, printf('%.1f%%', d{i} / n * 100) AS pct_text,
+       CASE WHEN d{i} = 0 THEN 'OK' ELSE 'DIFFERENZE' END AS status FROM s"""
         for i, c in enumerate(values)
     ]
-    return ctes + "\n" + "\nUNION ALL ".join(parts)
+    return f"{ctes},\ns AS MATERIALIZED (SELECT count(*) AS n, {counts} FROM j)\n" + "\nUNION ALL ".join(parts)
 
 
 def diff_rows(ctes: str, key: Sequence[str], values: Sequence[str], limit: int | None = None) -> str:
