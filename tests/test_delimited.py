@@ -28,7 +28,11 @@ def content(delivery):
         ("", {}, [], [], []),
         ("A;B\n", {}, ["A", "B"], [], []),
         ("A;B\r\n1;è\r\n", {}, ["A", "B"], [("1", "è")], []),
-        ("a b;c;\n1;2;\n", {"legacy": True}, ["a b", "c"], [("1", "2")], []),
+        ("a b;c;\n1; 2  x ;\n", {"legacy": True}, ["a b", "c"], [("1", "2  x")], []),
+        ("1;2\n", {"legacy": True}, ["0", "1"], [("1", "2")], []),
+        ('K_1;V\n1;"x\ny"\n2;"say ""hi"""\n3;z;long\n4\n', {"multi_line": True}, ["K_1", "V"],
+         [("1", "x\ny"), ("2", 'say "hi"'), ("4", "")], [(None, "3;z;long")]),
+        ('K_1;V\n1;"è\n€"\n'.encode("cp1252"), {"multi_line": True}, ["K_1", "V"], [("1", "è\n€")], []),
     ],
 )
 def test_read(spark, write, raw, options, columns, rows, rejected):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from twintally.operators.pairing import find_families, match_files, match_logica
 from twintally.plans.report import (
     ERROR,
     MISSING_FILE,
+    RECORD_SCHEMA,
     SIDE_A,
     SIDE_B,
     failed_record,
@@ -23,11 +25,11 @@ from twintally.plans.report import (
     issue_log,
     issue_record,
     pair_reports,
-    union_records,
     write_reports,
 )
 from twintally.sources.delimited import LINE_ORDER, Delivery, read_delimited
 from twintally.sources.listing import list_deliveries, list_sources
+from twintally.sources.staging import new_path
 
 Progress = Callable[[str, int, int], None]
 PARALLEL_PAIRS = 4
@@ -35,11 +37,9 @@ PARALLEL_PAIRS = 4
 
 @dataclass(frozen=True)
 class PairResult:
-    """What one pair left behind: its record, its rejected lines, its error if it failed."""
+    """What one pair left behind besides its written reports."""
 
     label: str
-    record: DataFrame
-    lines: DataFrame | None = None
     summary: Row | None = None
     error: str | None = None
 
@@ -66,17 +66,57 @@ def compare_deliveries(
     return compare(*ordered, order_by=LINE_ORDER, cleaned=True, unique_order=True), missing
 
 
-def _compare_pair(spark, label, a, b, out, format, key=None, row_filter=None, strict=False, sample=None) -> PairResult:
-    comparison, _ = compare_deliveries(a, b, key, row_filter, strict, sample)
-    reports = pair_reports(comparison, label, a.name, b.name, row_filter=row_filter)
-    write_reports(reports, out, label, format)
-    written = spark.read.format(format).options(header="true", inferSchema="true").load
-    summary = written(f"{out.rstrip('/')}/pair_summary/label={label}").first()
-    spaced = tuple(int(side.spaced.first()["n_spaced"]) for side in (a, b))
-    rejected = tuple(side.rejected.count() for side in (a, b))
-    record = issue_record(comparison, label, a.name, b.name, (a.sep, b.sep), spaced, rejected)
-    lines = issue_lines(a.rejected, label, SIDE_A, a.name).unionByName(issue_lines(b.rejected, label, SIDE_B, b.name))
-    return PairResult(label, record, lines, summary)
+class _Run:
+    """Where the pairs of one run put their reports and records.
+
+    Each pair writes its record into its own partition of one staged table (pairs
+    finish at the same time), so the issue log over thousands of pairs is one scan.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, format: str):
+        self.spark, self.out, self.format = spark, out, format
+        self._records = new_path(spark, "records")
+
+    def record(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self._records}/pair={uuid.uuid4().hex}")
+
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(RECORD_SCHEMA).parquet(self._records).drop("pair")
+
+    def write(self, reports: Mapping[str, DataFrame], label: str | None = None) -> None:
+        write_reports(reports, self.out, label, self.format)
+
+    def pair(
+        self,
+        label: str,
+        a: Delivery,
+        b: Delivery,
+        row_filter: Mapping[str, str] | None = None,
+        **search,
+    ) -> PairResult:
+        comparison, unfiltered = compare_deliveries(a, b, row_filter=row_filter, **search)
+        reports = pair_reports(comparison, label, a.name, b.name, row_filter=row_filter, unfiltered=unfiltered)
+        lines = [issue_lines(d.rejected, label, side, d.name) for d, side in ((a, SIDE_A), (b, SIDE_B))]
+        self.write({**reports, "issue_lines": lines[0].unionByName(lines[1])}, label)
+        summary = reports["pair_summary"].first()
+        self.record(
+            issue_record(
+                comparison,
+                label,
+                a.name,
+                b.name,
+                (a.sep, b.sep),
+                spaced=tuple(d.spaced.first()["n_spaced"] for d in (a, b)),
+                rejected=tuple(d.rejected.count() for d in (a, b)),
+                counts=reports["pair_summary"].select(F.col("rows_with_diff").alias("n_diff")),
+                structure=reports["column_structure"],
+            )
+        )
+        return PairResult(label, summary)
+
+    def failed(self, label: str, name_a: str | None, name_b: str | None, error: Exception) -> PairResult:
+        self.record(failed_record(self.spark, label, name_a, name_b, str(error)))
+        return PairResult(label, error=str(error))
 
 
 def _each(pairs, work, parallel: int, on_progress: Progress | None) -> list[PairResult]:
@@ -125,27 +165,24 @@ def run(
     listed = match_files(list_sources(spark, a_path), list_sources(spark, b_path), how)
     rows = listed.orderBy("label", "path_a", "path_b").collect()
     pairs = list(zip(_unique_labels([r["label"] for r in rows]), rows))
+    this = _Run(spark, out, format)
     paired = [(label, r) for label, r in pairs if r["path_a"] and r["path_b"]]
 
     def work(pair: tuple[str, Row]) -> PairResult:
         label, row = pair
         try:
             a, b = (read_delimited(spark, row[f"path_{s}"], sep=sep) for s in "ab")
-            return _compare_pair(spark, label, a, b, out, format, key, row_filter, sample=key_sample_rows)
+            return this.pair(label, a, b, row_filter, key=key, key_sample_rows=key_sample_rows)
         except Exception as error:  # any failure belongs to its pair
-            return PairResult(label, failed_record(spark, label, row["name_a"], row["name_b"], str(error)))
+            return this.failed(label, row["name_a"], row["name_b"], error)
 
-    results = _each(paired, work, parallel, on_progress)
+    _each(paired, work, parallel, on_progress)
     unpaired = [(r["label"], r["name_a"], r["name_b"]) for _, r in pairs if not (r["path_a"] and r["path_b"])]
-    write_reports(
-        {"unpaired": spark.createDataFrame(unpaired, "label string, name_a string, name_b string")}, out, format=format
-    )
-    if not results:
-        return spark.createDataFrame([], failed_record(spark, "", None, None, "").schema)
-    records = union_records([r.record for r in results])
-    lines = [r.lines for r in results if r.lines is not None]
-    write_reports(issue_log(records, union_records(lines) if lines else None), out, format=format)
-    return records
+    this.write({"unpaired": spark.createDataFrame(unpaired, "label string, name_a string, name_b string")})
+    if not paired:
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    this.write(issue_log(this.records()))
+    return this.records()
 
 
 def _empty(spark: SparkSession, name: str) -> Delivery:
@@ -204,6 +241,8 @@ def run_families(
         pairs += [(family, row, usable) for row in matched]
     labels = list(_unique_labels([f"{family}.{row['logical_name']}" for family, row, _ in pairs]))
 
+    this = _Run(spark, out, format)
+
     def work(job) -> PairResult:
         label, (_, row, usable) = job
         names = {s: row[f"name_{s}"] or MISSING_FILE for s in "ab"}
@@ -214,9 +253,9 @@ def run_families(
                 else _empty(spark, names[s])
                 for s in "ab"
             )
-            return _compare_pair(spark, label, a, b, out, format, strict=True)
+            return this.pair(label, a, b, strict=True)
         except Exception as error:  # any failure belongs to its pair
-            return PairResult(label, failed_record(spark, label, names["a"], names["b"], str(error)), error=str(error))
+            return this.failed(label, names["a"], names["b"], error)
 
     results = _each(list(zip(labels, pairs)), work, parallel, on_progress)
     summaries = []
@@ -233,7 +272,7 @@ def run_families(
             }
         )
     summary = spark.createDataFrame(summaries, _BATCH_SCHEMA)
-    write_reports({"batch_summary": summary}, out, format=format)
+    this.write({"batch_summary": summary})
     return summary
 
 

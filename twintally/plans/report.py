@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,7 @@ from twintally.operators.compare import (
 from twintally.operators.filters import describe_filter
 from twintally.operators.positions import POSITION
 from twintally.operators.structure import BOTH, NO, ONLY_A, ONLY_B, column_structure
+from twintally.sources.staging import stage
 
 # Fixed values of the reports.
 ANOMALY, ERROR = "ANOMALIE", "ERRORE"
@@ -28,7 +29,6 @@ SIDE_A, SIDE_B = "AS-IS", "TO-BE"
 MISSING_FILE = "— MANCANTE —"
 POSITIONAL = "(confronto posizionale)"
 LINE_CHARS = 500
-SHOWN_NAMES = 10
 
 RECORD_SCHEMA = """
     label string, name_a string, name_b string, sep_a string, sep_b string, sep_ok boolean,
@@ -52,11 +52,13 @@ def pair_summary(
     name_a: str,
     name_b: str,
     row_filter: Mapping[str, str] | None = None,
+    unfiltered: Sequence[str] = (),
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row with all counters and the outcome of a pair.
 
     OK means: same columns, same number of rows, every row paired, no difference.
+    ``unfiltered`` names filter columns that a side lacks, so that it was not filtered.
     """
     p = comparison.profile
     counts = comparison.counts() if counts is None else counts
@@ -90,17 +92,18 @@ def pair_summary(
         number(p.dup_keys_b).alias("dup_keys_b"),
         number(p.heavy_keys).alias("heavy_keys"),
         F.lit(describe_filter(row_filter or {})).alias("row_filter"),
+        F.lit(", ".join(unfiltered)).alias("unfiltered"),
         F.lit(keyed and p.matched == 0 and p.rows_a > 0 and p.rows_b > 0).alias("no_match_warning"),
     )
 
 
 def pair_reports(comparison: Comparison, label: str, name_a: str, name_b: str, **options) -> dict[str, DataFrame]:
-    """All reports on one pair. The differing pairs are written once and shared."""
-    comparison.materialize()
-    counts = comparison.counts()
+    """All reports on one pair. The differing pairs, their counts and the structure
+    are written once and shared."""
+    counts = stage(comparison.materialize().counts(), "counts")
     reports = {
-        "pair_summary": pair_summary(comparison, label, name_a, name_b, counts=counts, **options),
-        "column_structure": _structure(comparison),
+        "pair_summary": stage(pair_summary(comparison, label, name_a, name_b, counts=counts, **options), "summary"),
+        "column_structure": stage(_structure(comparison), "structure"),
         "column_summary": comparison.column_summary(counts),
         "diff_rows": comparison.diff_rows(),
         "diff_cells": comparison.diff_cells(),
@@ -262,8 +265,8 @@ def issue_lines(rejected: DataFrame, label: str, side: str, name: str) -> DataFr
     )
 
 
-def issue_log(records: DataFrame, lines: DataFrame | None = None) -> dict[str, DataFrame]:
-    reports = {
+def issue_log(records: DataFrame) -> dict[str, DataFrame]:
+    return {
         "issue_records": records,
         "issue_summary": issue_summary(records),
         "issue_totals": issue_totals(records),
@@ -272,7 +275,6 @@ def issue_log(records: DataFrame, lines: DataFrame | None = None) -> dict[str, D
         "issue_types": issue_types(records),
         "issue_spaces": issue_spaces(records),
     }
-    return reports if lines is None else {**reports, "issue_lines": lines}
 
 
 # -- sinks -----------------------------------------------------------------

@@ -8,8 +8,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twintally.functions.text import clean, col, lstrip_chars
+from twintally.functions.text import clean, col, lstrip_chars, strip, text
 from twintally.operators.columns import dedup_columns, generated_names, is_artifact, prefix_chars
 from twintally.operators.sniff import (
     DEFAULT_SEPARATOR,
@@ -133,6 +134,7 @@ def read_delimited(
     encoding: str | None = None,
     quote: str | None = '"',
     legacy: bool = False,
+    multi_line: bool = False,
 ) -> Delivery:
     """Read one file, or one archive entry (``archive.zip::entry``), as strings.
 
@@ -141,7 +143,9 @@ def read_delimited(
     Separator, header and encoding are found out unless given. The lines are parsed
     in one scan whose result is staged: the rows, the rejected lines and the line
     order then all come from the same written table. ``legacy`` is the older rule
-    set: ';', UTF-8, its own header test, only unnamed columns dropped.
+    set: ';', UTF-8, its own header test, only unnamed columns dropped, values only
+    stripped. ``multi_line`` allows line breaks in quoted fields; such a file cannot
+    be split, so it is read by one task, and its rejected rows have no line number.
     """
     encoding = encoding or (UTF8 if legacy else detect_encoding(spark, path))
     head = head_lines(spark, path, encoding)
@@ -154,6 +158,8 @@ def read_delimited(
     parts = [[v.lstrip(" ") for v in row["parts"]] for row in tested]
     expected = max((len(p) for p in parts[: 2 if has_header else 1]), default=0)
     names = [n.strip() for n in parts[0]] if has_header and parts else generated_names(expected)
+    if legacy and not has_header:
+        names = [str(i) for i in range(expected)]
     names = dedup_columns(names + [""] * (expected - len(names)))
     data = parts[1:] if has_header else parts
     chars = "" if legacy else prefix_chars(names, [p[0] for p in data], sep)
@@ -162,28 +168,32 @@ def read_delimited(
     kept = [(i, n) for i, n in enumerate(names) if n and (legacy or not is_artifact(n))]
     columns = [n for _, n in kept]
 
-    def value(i: int) -> Column:
-        return clean(lstrip_chars(F.ltrim(F.get(F.col("_parts"), F.lit(i))), chars))
+    def value(part: Column) -> Column:
+        stripped = lstrip_chars(F.ltrim(text(part)), chars)
+        return strip(stripped) if legacy else clean(stripped)
 
-    line = F.col("value")
-    kind = (
-        F.when(is_blank(line), "blank")
-        .when(too_long(F.col("_parts"), expected), "rejected")
-        .when((line == head[0]) if has_header and head else F.lit(False), "header")
-        .otherwise("row")
-    )
-    parsed = (
-        raw_lines(spark, path)
-        .withColumn("value", decode(line, encoding))
-        .withColumn("_parts", fields(line, sep, quote))
-        .select(
-            *LINE_ORDER,
-            kind.alias("_kind"),
-            F.when(kind == "rejected", line).alias("_line"),
-            spaced_fields(line, sep).alias("_spaced"),
-            *[value(i).alias(n) for i, n in kept],
+    if multi_line:
+        parsed = _multi_line_records(spark, path, sep, encoding, quote, has_header, names, kept, value)
+    else:
+        line = F.col("value")
+        kind = (
+            F.when(is_blank(line), "blank")
+            .when(too_long(F.col("_parts"), expected), "rejected")
+            .when((line == head[0]) if has_header and head else F.lit(False), "header")
+            .otherwise("row")
+        )
+        parsed = (
+            raw_lines(spark, path)
+            .withColumn("value", decode(line, encoding))
+            .withColumn("_parts", fields(line, sep, quote))
+            .select(
+                *LINE_ORDER,
+                kind.alias("_kind"),
+                F.when(kind == "rejected", line).alias("_line"),
+                spaced_fields(line, sep).alias("_spaced"),
+                *[value(F.get(F.col("_parts"), F.lit(i))).alias(n) for i, n in kept],
+            )
         )
-    )
     staged = stage(parsed, "delivery")
     in_order = F.struct(*LINE_ORDER)
     first = staged.where("_kind = 'header'").agg(F.min(in_order).alias("first")).first()["first"]
@@ -199,12 +209,45 @@ def read_delimited(
         has_header=has_header,
         columns=columns,
         ordered=staged.where(is_row).select(*LINE_ORDER, *map(col, columns)),
-        rejected=_rejected(staged),
+        rejected=_rejected(staged).withColumn("line_no", F.lit(None).cast("bigint")) if multi_line else _rejected(staged),
         spaced=counted.agg(F.coalesce(F.sum("_spaced"), F.lit(0)).alias("n_spaced")),
         strip_chars=chars,
     )
 
 
+def _multi_line_records(spark, path, sep, encoding, quote, has_header, names, kept, value) -> DataFrame:
+    """The columns of the line-wise parse, from Spark's own reader for quoted line breaks."""
+    if ENTRY_MARK in path:
+        raise ValueError("quoted line breaks are not supported inside archives")
+    raw = [f"_c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*raw, "_beyond"]])
+    options = {
+        "multiLine": True,
+        "sep": sep,
+        "header": has_header,
+        "quote": quote or "",
+        "escape": quote or "",
+        "encoding": "UTF-8" if encoding == UTF8 else "ISO-8859-1",
+        "ignoreLeadingWhiteSpace": True,
+    }
+    records = spark.read.schema(schema).options(**options).csv(path)
+
+    def decoded(c: str) -> Column:
+        return F.col(c) if encoding == UTF8 else F.translate(F.col(c), _C1_LATIN, _C1_TEXT)
+
+    too_many = F.coalesce(~is_blank(F.col("_beyond")), F.lit(False))
+    spaced = F.size(F.filter(F.array(*[decoded(c) for c in raw]), lambda v: v != strip(v)))
+    return records.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.lit(0).cast("bigint").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.when(too_many, "rejected").otherwise("row").alias("_kind"),
+        F.when(too_many, F.concat_ws(sep, *raw, "_beyond")).alias("_line"),
+        spaced.alias("_spaced"),
+        *[value(decoded(f"_c{i}")).alias(n) for i, n in kept],
+    )
+
+
 def _rejected(staged: DataFrame) -> DataFrame:
     """``(line_no, line)`` with the line number in the file.
 

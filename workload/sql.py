@@ -142,7 +142,7 @@ SELECT '{pair.label}' AS label, '{pair.label}.a' AS name_a, '{pair.label}.b' AS
             THEN 'OK' ELSE 'DIFFERENZE' END AS outcome,
        {key_used} AS key_used, matched_rows, rows_only_a, rows_only_b,
        CAST(dup_keys_a AS BIGINT) AS dup_keys_a, CAST(dup_keys_b AS BIGINT) AS dup_keys_b,
-       CAST(0 AS BIGINT) AS heavy_keys, '' AS row_filter, FALSE AS no_match_warning FROM s"""
+       CAST(0 AS BIGINT) AS heavy_keys, '' AS row_filter, '' AS unfiltered, FALSE AS no_match_warning FROM s"""
 
 
 # -- keys --------------------------------------------------------------------
