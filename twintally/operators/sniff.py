@@ -242,7 +242,10 @@ def spaced_fields(line: Column, sep: str | Column) -> Column:
     bare = F.transform(
         F.split(line, _quoted(sep), -1), lambda v: F.btrim(F.btrim(v, F.lit('"')), F.lit("'"))
     )
-    return F.size(F.filter(bare, lambda v: (v != strip(v)) | F.contains(v, F.lit(NBSP))))
+    spaced = F.size(F.filter(bare, lambda v: (v != strip(v)) | F.contains(v, F.lit(NBSP))))
+    # A plain ASCII line without any whitespace needs no look at its fields.
+    compact = (F.octet_length(line) == F.char_length(line)) & ~line.rlike(f"[{re.escape(ASCII_SPACE)}]")
+    return F.when(compact, 0).otherwise(spaced)
 
 
 def whitespace_audit(lines: DataFrame, separators: DataFrame, n_lines: int | None = None) -> DataFrame:
