@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import leaks, rules, shards
+from twintally.llm import copies, leaks, rules, shards
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.classes(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_fm_index_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct("items"))
@@ -37,5 +41,5 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_fm_index_leaks, op4_suffix_rules, op9_hypergeometric_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op9_hypergeometric_shards)}
 SQL: dict[str, str] = {}
