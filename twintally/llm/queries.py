@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, leaks, rules, shards
+from twintally.llm import copies, leaks, packing, rules, shards
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +36,15 @@ def op4_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op8_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("ids")
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     out = shards.shard(docs, 24, stable=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op9_hypergeometric_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op8_bounded_best_fit, op9_hypergeometric_shards)}
 SQL: dict[str, str] = {}
