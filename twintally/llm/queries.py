@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, leaks, packing, rules, shards
+from twintally.llm import copies, leaks, lines, packing, rules, shards
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +46,9 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op8_bounded_best_fit, op9_hypergeometric_shards)}
+def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
 SQL: dict[str, str] = {}
