@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, leaks, lines, packing, rules, shards
+from twintally.llm import copies, credentials, leaks, lines, packing, rules, shards
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,29 @@ def op4_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(table(spark, sf_dir, "documents"))
 
 
+def joined_spans(spans: Column, kinds: list[str], by_kind: bool) -> Column:
+    """kind:start:end of all spans, by start and kind or by kind and start, comma-joined."""
+    number = lambda s: F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
+    key = (lambda s: (number(s), s["start"])) if by_kind else (lambda s: (s["start"], number(s)))
+    keyed = F.transform(spans, lambda s: F.struct(*(k.cast("bigint").alias(f"k{i}") for i, k in enumerate(key(s))), s["end"].alias("end"), s["kind"].alias("kind"), s["start"].alias("start")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def counted(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op5_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "grammar")
+    return found.select(
+        "doc_id",
+        *(counted("spans", kind) for kind in credentials.KINDS[:3]),
+        F.sha2(joined_spans(base, credentials.KINDS, False), 256).alias("base_sha256"),
+        joined_spans(F.col("spans"), credentials.KINDS, False).alias("spans"),
+    )
+
+
 def op8_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("ids")
 
@@ -50,5 +73,5 @@ def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op5_grammar_secrets, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
 SQL: dict[str, str] = {}
