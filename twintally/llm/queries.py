@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, credentials, leaks, lines, packing, rules, shards
+from twintally.llm import copies, credentials, disclosure, leaks, lines, packing, rules, shards
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,17 @@ def op5_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id",
+        *(counted("spans", kind) for kind in disclosure.KINDS[:4]),
+        F.sha2(joined_spans(base, disclosure.KINDS, True), 256).alias("base_sha256"),
+        joined_spans(F.col("spans"), disclosure.KINDS, True).alias("spans"),
+    )
+
+
 def op8_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("ids")
 
@@ -73,5 +84,5 @@ def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op5_grammar_secrets, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
 SQL: dict[str, str] = {}
