@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, credentials, disclosure, leaks, lines, packing, rules, shards
+from twintally.llm import copies, credentials, disclosure, leaks, lines, losses, packing, rules, shards, urls
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,21 @@ def op2_fm_index_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+#: Words of hosts whose URLs are labelled as ones to block; all other URLs count as ones to allow.
+BLOCKED_WORDS = "adult|bet|casino|cheap|loan|pills|porn|spam|viagra|xxx"
+
+
+def op3_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables have no labels of URLs, so the trees learn from the words of hosts; a host's words are no feature."""
+    pages = table(spark, sf_dir, "pages")
+    word = urls.host_of(F.col("url")).rlike(rf"(^|[.-])({BLOCKED_WORDS})([.-]|$)")
+    return urls.judge_urls(pages, URL_RULES, pages.select("url", word.cast("double").alias("label"))).drop("blocked")
+
+
 def op4_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(table(spark, sf_dir, "documents"))
 
@@ -70,6 +85,11 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return losses.loss_differences(table(spark, sf_dir, "documents"), good)
+
+
 def op8_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("ids")
 
@@ -84,5 +104,5 @@ def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op3_boosted_urls, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op7_cross_entropy_difference, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
 SQL: dict[str, str] = {}
