@@ -41,6 +41,8 @@ CHUNK = 1 << 12
 LOW = np.uint64((1 << 56) - 1)
 #: At most so many row numbers, 8 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Longer lists of the index are joined with the prefixes at hand.
+LONG_LIST = 32
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -112,6 +114,11 @@ def describe(rows: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     return map_batches(rows, run, f"row bigint, id {kind}, n bigint, s1 bigint, s2 bigint, gid bigint, prefix array<bigint>")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table of row or group numbers, to be broadcast if it is small enough; checked by its count."""
+    return table if table.count() > BROADCAST_ROWS else F.broadcast(table)
+
+
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the rows in ``wanted`` (node)."""
 
@@ -121,20 +128,19 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [x.view(np.int64) for x in shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    wanted = wanted if wanted.count() > BROADCAST_ROWS else F.broadcast(wanted)
-    found = rows.join(wanted, F.col("row") == F.col("node"), "left_semi")
+    found = rows.join(small(wanted), F.col("row") == F.col("node"), "left_semi")
     return map_batches(found.select("row", "text"), run, "node bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    pairs = stage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
-    sets = stage(sets_of(rows, wanted), "pair-sets")
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(first, "a").join(second, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    """The pairs (a, b) of nodes whose whole sets are similar enough. Both sets of a pair meet in one shuffle."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b"), "pair-ends")
+    wanted = stage(ends.select("node").distinct(), "pair-nodes")
+    sets = sets_of(rows, wanted).join(small(ends), "node").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
+    x, y = F.col("sets")[0], F.col("sets")[1]
+    both = F.size(F.array_intersect(x, y))
+    return sets.where(100 * both >= percent * (F.size(x) + F.size(y) - both)).select("a", "b")
 
 
 def large_enough(overlap, n, m, percent: int):
@@ -142,6 +148,49 @@ def large_enough(overlap, n, m, percent: int):
     return (100 + percent) * overlap >= percent * (n + m)
 
 
+def close_groups(shared: DataFrame, placed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, h) of groups that are not all in one component and whose prefixes allow the similarity.
+
+    Pairs from short lists are gathered first and then compared by their prefixes. The entries of long lists carry their
+    prefixes, so that a pair of a large family is compared within the join, at the first long list it shares.
+    """
+    spans = placed.groupBy("gid").agg(F.min("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    per_token = W.partitionBy("token")
+    entries = shared.where("n_groups > 2").drop("other").join(spans, "gid")
+    entries = entries.withColumns({"least": F.min("low").over(per_token), "most": F.max("high").over(per_token)})
+    entries = stage(entries.where("least <> most").drop("least", "most"), "open-lists")
+
+    def prefixes_of(gids: DataFrame) -> DataFrame:
+        gids = stage(gids.distinct(), "wanted-groups")
+        return prefixes.join(small(gids), "gid", "left_semi").groupBy("gid").agg(F.first("prefix").alias("prefix"))
+
+    x, y, n, m = F.col("x"), F.col("y"), F.col("x.n"), F.col("y.n")
+    both = F.array_intersect("x.prefix", "y.prefix")
+    last = F.element_at(both, -1)
+    overlap = F.size(both) + F.least(n - F.array_position("x.prefix", last), m - F.array_position("y.prefix", last))
+    apart = (x["low"] != y["low"]) | (x["high"] != y["high"]) | (x["low"] != x["high"])
+    able = (F.col("x.gid") < F.col("y.gid")) & apart & large_enough(F.least(n, m), n, m, percent)
+
+    one = F.struct("gid", "n", "low", "high")
+    twos = shared.where("n_groups = 2").select(F.col("gid").alias("g"), F.col("other").alias("h")).distinct()
+    twos = twos.join(spans.select(F.col("gid").alias("g"), one.alias("x")), "g").join(spans.select(F.col("gid").alias("h"), one.alias("y")), "h")
+    short = entries.where(F.col("n_groups") <= LONG_LIST).select("token", one.alias("x"))
+    pairs = twos.where(able).select("x", "y").unionByName(short.join(short.withColumnRenamed("x", "y"), "token").where(able).select("x", "y")).distinct()
+    pairs = stage(pairs.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"), n.alias("n"), m.alias("m")), "short-list-pairs")
+    wanted = stage(prefixes_of(pairs.select(F.explode(F.array("g", "h")).alias("gid"))), "short-list-prefixes")
+    pairs = pairs.join(wanted.select(F.col("gid").alias("g"), F.struct("prefix").alias("p")), "g").join(wanted.select(F.col("gid").alias("h"), F.struct("prefix").alias("q")), "h")
+    pairs = pairs.select("g", "h", F.struct("n", "p.prefix").alias("x"), F.struct(F.col("m").alias("n"), "q.prefix").alias("y"))
+    pairs = pairs.where(large_enough(overlap, n, m, percent)).select("g", "h")
+
+    long = entries.where(F.col("n_groups") > LONG_LIST)
+    tokens = long.groupBy("gid").agg(F.collect_set("token").alias("tokens"))
+    carried = tokens.join(prefixes_of(long.select("gid")), "gid").withColumn("long", F.array_intersect("prefix", "tokens")).drop("tokens")
+    carried = stage(long.join(carried, "gid").select("token", F.struct("gid", "n", "low", "high", "prefix", "long").alias("x")), "long-lists")
+    at_first = F.element_at(F.array_intersect("x.long", "y.long"), 1) == F.col("token")
+    more = carried.join(carried.withColumnRenamed("x", "y"), "token").where(able & at_first & large_enough(overlap, n, m, percent))
+    return pairs.unionByName(more.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))).distinct()
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the least id of its class), and ``row`` and ``node``.
 
@@ -157,45 +206,29 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     prefixes = described.where("prefix IS NOT NULL")
 
     lists = prefixes.select("gid", F.explode("prefix").alias("token")).repartition("token").distinct()
-    shared = lists.withColumn("n_groups", F.count("*").over(W.partitionBy("token"))).where("n_groups > 1")
-    shared = stage(shared, "shared")
-    popular = shared.groupBy("gid").agg(F.sum("n_groups").alias("popular"))
-    wide = prefixes.join(popular, "gid").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("popular").alias("popular"))
-    wide = stage(wide, "groups")
-
-    ranked = shared.join(wide.select("gid", "n", "popular"), "gid")
-    hub = F.max(F.struct("popular", "gid", "n")).over(W.partitionBy("token"))
-    stars = ranked.withColumn("hub", hub).where("gid <> hub.gid").where(large_enough(F.least("n", "hub.n"), F.col("n"), F.col("hub.n"), percent))
-    stars = stars.groupBy(F.col("hub.gid").alias("g"), F.col("gid").alias("h")).agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub.n").alias("m"))
-    # Which pairs are tried first is free. Similar sets have most of their prefixes in common; of these, half will do.
-    stars = stars.where(8 * F.col("common") >= (1 - percent / 100) * F.least("n", "m"))
+    per_token = W.partitionBy("token")
+    shared = lists.withColumns({"n_groups": F.count("*").over(per_token), "other": F.max("gid").over(per_token)})
+    # The pair of a list of two is one row.
+    shared = stage(shared.where("n_groups > 2 OR (n_groups = 2 AND gid <> other)"), "shared")
+    sizes = nodes.groupBy("gid").agg(F.min("n").alias("n"))
+    longer = shared.where("n_groups > 2").drop("other")
+    popular = longer.groupBy("gid").agg(F.sum("n_groups").alias("popular"))
+    ranked = longer.join(popular, "gid").withColumn("hub", F.max(F.struct("popular", "gid")).over(per_token))
+    stars = ranked.where("gid <> hub.gid").select(F.col("hub.gid").alias("g"), F.col("gid").alias("h"))
+    stars = stars.unionByName(shared.where("n_groups = 2").select(F.col("gid").alias("g"), F.col("other").alias("h")))
+    stars = stars.groupBy("g", "h").agg(F.count("*").alias("common"))
+    stars = stars.join(sizes.withColumnRenamed("gid", "g"), "g").join(sizes.select(F.col("gid").alias("h"), F.col("n").alias("m")), "h")
+    # Which pairs are tried first is free. Similar sets have most of their prefixes in common; of these, a third will do.
+    stars = stars.where(large_enough(F.least("n", "m"), F.col("n"), F.col("m"), percent) & (3 * F.col("common") >= (1 - percent / 100) * F.least("n", "m")))
     first = nodes.groupBy("gid").agg(F.min("node").alias("a"))
     members = nodes.select("gid", F.col("node").alias("b"))
     tried = stars.select(F.col("g").alias("gid"), "h").join(first, "gid").select("a", F.col("h").alias("gid")).unionByName(first.select("a", "gid"))
     links = stage(verified(tried.join(members, "gid").select("a", "b"), rows, percent), "links-of-hubs")
     named = stage(components(links, rounds=4), "first-components")
 
-    placed = nodes.join(named, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
+    placed = nodes.join(named, "node", "left").select("gid", "n", "node", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "placed")
-    spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = shared.join(wide.join(spans, "gid").select("gid", "n", "prefix", "low", "high"), "gid")
-    per_token = W.partitionBy("token")
-    entries = entries.withColumns({"least": F.min("low").over(per_token), "most": F.max("high").over(per_token)}).where("least <> most").drop("least", "most", "n_groups")
-    entries = stage(entries, "open-lists")
-    x, y = entries.alias("x"), entries.alias("y")
-    both = F.array_intersect("x.prefix", "y.prefix")
-    last = F.element_at(both, -1)
-    last_x, last_y = F.array_position("x.prefix", last), F.array_position("y.prefix", last)
-    n, m = F.col("x.n"), F.col("y.n")
-    able = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.gid") < F.col("y.gid"))
-        & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
-        & large_enough(F.least(n, m), n, m, percent)
-        & (F.element_at(both, 1) == F.col("x.token"))
-        & large_enough(F.size(both) + F.least(n - last_x, m - last_y), n, m, percent)
-    )
-    close = x.join(y, able).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
+    close = stage(close_groups(shared, placed, prefixes, percent), "close-groups")
     several = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     left = placed.select(F.col("gid").alias("g"), F.col("node").alias("a"), F.col("component").alias("c"))
     right = placed.select(F.col("gid").alias("h"), F.col("node").alias("b"), F.col("component").alias("d"))
@@ -209,3 +242,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     out = described.where("n > 0").select("row", "id", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select("row", "id", "n", "component_id", "class")
     alone = described.where("n = 0").select("row", "id", "n", F.col("id").alias("component_id"), F.col("row").alias("class"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "row", F.col("class").alias("node"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, read from files, without all but one of each class: its first row stays."""
+    name = "__copy_row"
+    gone = classes(docs, percent, id_col, text_col, stable=True).where("row <> node").select(F.col("row").alias(name))
+    gone = stage(gone, "copies")
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(small(gone), name, "left_anti").select(*docs.columns)
