@@ -47,11 +47,11 @@ def frames(spark, seed):
     return a, b, spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
 
 
-@pytest.mark.parametrize("seed, heavy_rows", [(1, 1000), (2, 3), (3, 0)])
-def test_against_brute_force(spark, seed, heavy_rows):
+@pytest.mark.parametrize("seed, expand", [(1, True), (2, False), (3, False)])
+def test_against_brute_force(spark, seed, expand):
     a, b, left, right = frames(spark, seed)
     expected = brute(a, b)
-    c = KeyedComparison(left, right, ["k"], heavy_rows=heavy_rows)
+    c = KeyedComparison(left, right, ["k"], expand=expand)
     counts = c.counts().first().asDict()
     assert counts["n_both"] == expected["n_both"]
     assert counts["n_diff"] == sum(expected["diff"].values())
@@ -75,18 +75,51 @@ def test_against_brute_force(spark, seed, heavy_rows):
         assert rebuilt + light == expected["diff"]
 
 
-def test_outer_is_the_same_split_or_not(spark, monkeypatch):
-    _, _, left, right = frames(spark, 4)
-    whole = KeyedComparison(left, right, ["k"], heavy_rows=1000).outer()
-    expected = Counter(tuple(r) for r in whole.select(sorted(map(lambda c: f"`{c}`", whole.columns))).collect())
-    monkeypatch.setattr(module, "FULL_OUTER_ROWS", 0)
-    split = KeyedComparison(left, right, ["k"], heavy_rows=1000).outer()
-    assert Counter(tuple(r) for r in split.select(sorted(map(lambda c: f"`{c}`", split.columns))).collect()) == expected
+def test_outer_lists_pairs_and_one_sided_rows(spark):
+    a, b, left, right = frames(spark, 4)
+    a, b = ([tuple(map(clean, row)) for row in side] for side in (a, b))
+    keys_a, keys_b = {x[0] for x in a}, {y[0] for y in b}
+    expected = Counter((x[0], *x[1:], *y[1:], "both") for x in a for y in b if x[0] == y[0])
+    expected += Counter((x[0], *x[1:], None, None, "only_a") for x in a if x[0] not in keys_b)
+    expected += Counter((y[0], None, None, *y[1:], "only_b") for y in b if y[0] not in keys_a)
+    found = KeyedComparison(left, right, ["k"], expand=True).outer().collect()
+    names = ["k", "v.1__a", "w x__a", "v.1__b", "w x__b", "side"]
+    assert Counter(tuple(r[n] for n in names) for r in found) == expected
+
+
+@pytest.mark.parametrize("n", [1, 2, 32, 33, 1000])
+def test_listed_and_grouped_differences_add_up(spark, n):
+    a = spark.createDataFrame([("k", str(i % 7)) for i in range(n)] + [("one", "x")], "k string, v string")
+    b = spark.createDataFrame([("k", str(i % 5)) for i in range(n)] + [("one", "y")] * 3, "k string, v string")
+    c = KeyedComparison(a, b, ["k"])
+    groups = c.diff_groups().collect()
+    grouped = sum(x["rows_a"] * y["rows_b"] for x in groups for y in groups if x["v"] != y["v"])
+    assert c.diff_rows().count() + grouped == c.counts().first()["n_diff"]
+    assert c.diff_rows().count() == c.diff_cells().count() == 3
+    assert KeyedComparison(a, b, ["k"], expand=True).diff_rows().count() == c.counts().first()["n_diff"]
+
+
+def test_helper_names_leave_columns_alone(spark):
+    for name in ("rows_a", "side", "column", "pos", "_rank"):
+        schema = f"{name} string, v string, rows_b string"
+        a = spark.createDataFrame([("1", "x", "r"), ("2", "y", "r"), ("2", "z", "r"), ("3", "o", "r")], schema)
+        b = spark.createDataFrame([("1", "n", "r"), ("2", "y", "r"), ("2", "y", "s")], schema)
+        c = KeyedComparison(a, b, [name])
+        assert c.counts().first()["n_diff"] == 4 and c.diff_rows().count() == 1
+        assert {r[name] for r in c.outer().collect()} == {"1", "3"}
+        assert [r[name] for r in c.diff_cells().collect()] == ["1"]
+        assert c.diff_rows_top(3).count() == 3 and c.diff_groups().count() == 3
+
+
+def test_underscored_order_columns_are_compared(spark):
+    a, b = (spark.createDataFrame([(n, "x")], "_id int, v string") for n in (2, 9))
+    assert compare(a, b, order_by=["_id"]).counts().first()["n_diff"] == 1
+    assert compare(a, b, order_by=["_id"], helpers=["_id"]).counts().first()["n_diff"] == 0
 
 
 def test_cells_and_materialized_reports(spark):
     _, _, left, right = frames(spark, 5)
-    c = KeyedComparison(left, right, ["k"], heavy_rows=1000)
+    c = KeyedComparison(left, right, ["k"], expand=True)
     before = Counter(map(tuple, c.diff_cells().collect()))
     counts = c.counts().first()
     per_column = Counter(r["column"] for r in c.diff_cells().collect())
@@ -101,15 +134,15 @@ def test_swapping_sides_and_equal_sides(spark):
     forth, back = KeyedComparison(left, right, ["k"]), KeyedComparison(right, left, ["k"])
     assert (forth.profile.only_a, forth.profile.only_b) == (back.profile.only_b, back.profile.only_a)
     same = spark.createDataFrame([(str(i), "x", None) for i in range(9)], SCHEMA)
-    p = KeyedComparison(same, same, ["k"], heavy_rows=1000)
+    p = KeyedComparison(same, same, ["k"], expand=True)
     assert p.counts().first()["n_diff"] == 0 and p.profile.only_a == p.profile.only_b == 0
 
 
 def test_wide_tables_take_the_long_form(spark, monkeypatch):
     _, _, left, right = frames(spark, 7)
-    narrow = KeyedComparison(left, right, ["k"], heavy_rows=3).counts().first()
+    narrow = KeyedComparison(left, right, ["k"]).counts().first()
     monkeypatch.setattr(module, "WIDE_COLUMNS", 1)
-    assert KeyedComparison(left, right, ["k"], heavy_rows=3).counts().first() == narrow
+    assert KeyedComparison(left, right, ["k"]).counts().first() == narrow
 
 
 def test_original_values_are_reported_but_compared_clean(spark):

@@ -39,8 +39,11 @@ def test_no_pairing_of_everything_and_no_python(spark, name):
 
 
 def test_counts_need_one_join_and_key_pass_none(spark):
+    unique = KeyedComparison(*sides(spark, SF_DIR, ORDERS), ORDERS.key)
+    assert len(re.findall(r"^\(\d+\) \w*Join", plan(unique.counts()), re.M)) == 1
+    # Keys repeated on both sides are left out of the join by one more join on either side, and counted by two.
     c = KeyedComparison(*sides(spark, SF_DIR, LINEITEM), LINEITEM.key)
-    assert len(re.findall(r"^\(\d+\) \w*Join", plan(c.counts()), re.M)) == 1
+    assert len(re.findall(r"^\(\d+\) \w*Join", plan(c.counts()), re.M)) == 5
     keys = plan(c.key_counts())
     assert "Join" not in keys
     assert keys.count("ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_linenumber:int>") == 2
@@ -56,4 +59,4 @@ def test_aggregates_combine_before_the_shuffle(spark):
 def test_heavy_keys_are_not_paired(spark):
     c = KeyedComparison(*sides(spark, SF_DIR, SUPPLIED), SUPPLIED.key)
     assert c.profile.heavy_keys > 0 and c.profile.matched > 100 * c.profile.rows_a
-    assert c.pairs().count() < c.heavy_rows * (c.profile.rows_a + c.profile.rows_b)
+    assert c.pairs().count() <= c.profile.rows_a + c.profile.rows_b

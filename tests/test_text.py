@@ -72,6 +72,8 @@ def test_logical_and_family_names(spark):
 
 def test_column_names():
     assert dedup_columns(["X", "X", "Y", "X", "x"]) == ["X", "X_1", "Y", "X_2", "x_3"]
+    assert dedup_columns(["X", "X", "X_1"]) == ["X", "X_2", "X_1"]
+    assert dedup_columns(["X", "X_1", "X", "X_1"]) == ["X", "X_1", "X_2", "X_1_1"]
     kept = ["#ID", "_COL", "£A", "è"]
     assert [n for n in ["", " ", "#", "£", "|", ";#", "Unnamed: 3", *kept] if not is_artifact(n)] == kept
 

@@ -19,14 +19,20 @@ def generated_names(n: int) -> list[str]:
 
 
 def dedup_columns(names: Iterable[str]) -> list[str]:
-    """Second ``X`` becomes ``X_1``, third ``X_2``; names that differ in case only
-    count as equal, since Spark resolves columns that way."""
+    """Second ``X`` becomes ``X_1``, third ``X_2``, or the next that no column has; names
+    that differ in case only count as equal, since Spark resolves columns that way."""
+    names = list(names)
+    taken = {name.lower() for name in names}
+    seen: set[str] = set()
     times: Counter[str] = Counter()
     result = []
     for name in names:
-        n = times[name.lower()]
-        times[name.lower()] += 1
-        result.append(f"{name}_{n}" if n else name)
+        own = name
+        while own.lower() in seen or (own != name and own.lower() in taken):
+            times[name.lower()] += 1
+            own = f"{name}_{times[name.lower()]}"
+        seen.add(own.lower())
+        result.append(own)
     return result
 
 

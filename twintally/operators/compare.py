@@ -15,11 +15,6 @@ from twintally.functions.text import clean, col, num_diff, percent_text, text
 from twintally.operators.positions import POSITION, with_position
 from twintally.sources.staging import stage
 
-# A key with more rows than this on both sides is not paired row by row.
-HEAVY_ROWS = 32
-# A full outer join is not split by adaptive execution, so it is used only while
-# no key has more rows than this on either side.
-FULL_OUTER_ROWS = 100_000
 # Beyond this many value columns the per-column counts use one row per differing cell.
 WIDE_COLUMNS = 60
 # Fixed values of the report.
@@ -42,8 +37,6 @@ class KeyProfile:
     only_b: int
     dup_keys_a: int = 0
     dup_keys_b: int = 0
-    most_a: int = 1
-    most_b: int = 1
     heavy_keys: int = 0
     heavy_pairs: int = 0
 
@@ -104,18 +97,20 @@ class Comparison:
         return self._wide(self.differing())
 
     def diff_cells(self) -> DataFrame:
-        """One row per differing cell: key, column, a, b, num_diff."""
+        """One row per differing cell: key, column, a, b, num_diff; a name the key has gets a ``_`` more."""
+        taken = {c.lower() for c in self.key}
+        column, a, b, difference = (free_name(c, taken) for c in ("column", "a", "b", "num_diff"))
         cells = F.array(
             *[
-                F.struct(F.lit(c).alias("column"), col(f"{c}__a").alias("a"), col(f"{c}__b").alias("b"))
+                F.struct(F.lit(c).alias(column), col(f"{c}__a").alias(a), col(f"{c}__b").alias(b))
                 for c in self.values
             ]
         )
         if not self.values:
-            cells = F.array().cast("array<struct<column:string,a:string,b:string>>")
-        differing = F.filter(cells, lambda x: self._same(x.a) != self._same(x.b))
+            cells = F.array().cast(f"array<struct<{column}:string,{a}:string,{b}:string>>")
+        differing = F.filter(cells, lambda x: self._same(x[a]) != self._same(x[b]))
         return self.differing().select(*map(col, self.key), F.inline(differing)).withColumn(
-            "num_diff", num_diff(F.col("a"), F.col("b"))
+            difference, num_diff(F.col(a), F.col(b))
         )
 
     def _order(self) -> list[Column]:
@@ -214,13 +209,13 @@ class Comparison:
 class KeyedComparison(Comparison):
     """Rows are paired by equal keys; equal keys pair many to many.
 
-    One aggregate over the keys (no values, combined before the shuffle) gives
-    all row counts and finds heavy keys: those with more than ``heavy_rows`` rows
-    on both sides. Pairing them would cost the product of their rows, so they are
-    never paired: their pair counts come from the rows per key and per key and
-    value, and ``diff_groups`` lists their distinct rows with multiplicities.
-    All other keys are paired by an inner join, which adaptive execution can split
-    when one side of a key is large.
+    One aggregate over the keys (no values, combined before the shuffle) gives all
+    row counts and tells how each key occurs. A key that is unique on one side at
+    least is paired row by row: its pairs are no more than the rows of the other
+    side, and adaptive execution can split the join. A key repeated on both sides
+    (heavy) would give the product of its rows, so its pairs are counted from the
+    rows per key and per key and value, and ``diff_groups`` lists its distinct rows
+    with multiplicities. ``expand`` lists those pairs, too, whatever their number.
     """
 
     def __init__(
@@ -231,32 +226,33 @@ class KeyedComparison(Comparison):
         *,
         cleaned: bool = False,
         keep_original: bool = False,
-        heavy_rows: int = HEAVY_ROWS,
+        expand: bool = False,
     ):
         self.key = list(key)
-        self.heavy_rows = heavy_rows
+        self.expand = expand
         self.values = [c for c in a.columns if c in set(b.columns) and c not in self.key]
         self.a, self.b, self._same = _prepare(a, b, self.key, cleaned, keep_original)
+        taken = {c.lower() for c in [*self.a.columns, *self.b.columns]}
+        self._rows = [free_name(f"rows_{s}", taken) for s in "ab"]
 
     # -- keys --------------------------------------------------------------
 
     def key_counts(self) -> DataFrame:
         """Rows per key and side."""
-        return count_sides(self.a.select(*self._keys), self.b.select(*self._keys), self.key)
+        return count_sides(self.a.select(*self._keys), self.b.select(*self._keys), self.key, self._rows)
 
     @property
     def _keys(self) -> list[Column]:
         return [col(k) for k in self.key]
 
     def _is_heavy(self) -> Column:
-        return F.least("rows_a", "rows_b") > self.heavy_rows
+        return F.lit(False) if self.expand else F.least(*map(col, self._rows)) > 1
 
     @cached_property
     def profile(self) -> KeyProfile:
-        a, b, heavy = F.col("rows_a"), F.col("rows_b"), self._is_heavy()
-        # Few keys are heavy; only they need products beyond 64 bits.
-        light_pairs = F.sum(F.when(~heavy, a * b))
-        heavy_pairs = F.sum(F.when(heavy, a.cast("decimal(19,0)") * b.cast("decimal(19,0)")))
+        a, b, heavy = *map(col, self._rows), self._is_heavy()
+        pairs = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+        light_pairs, heavy_pairs = F.sum(F.when(~heavy, pairs)), F.sum(F.when(heavy, pairs))
         row = (
             self.key_counts()
             .agg(
@@ -268,8 +264,6 @@ class KeyedComparison(Comparison):
                 F.sum(F.when(a == 0, b)).alias("only_b"),
                 F.count_if(a > 1).alias("dup_keys_a"),
                 F.count_if(b > 1).alias("dup_keys_b"),
-                F.max(a).alias("most_a"),
-                F.max(b).alias("most_b"),
                 F.count_if(heavy).alias("heavy_keys"),
             )
             .first()
@@ -306,20 +300,15 @@ class KeyedComparison(Comparison):
         return self.b.join(self.a.select(*self._keys).distinct(), self.key, "left_anti")
 
     def outer(self) -> DataFrame:
-        """Pairs and one-sided rows with ``side`` = both / only_a / only_b."""
-        p = self.profile
-        a = self._suffixed(self._light(self.a), "a").withColumn("_in_a", F.lit(True))
-        b = self._suffixed(self._light(self.b), "b").withColumn("_in_b", F.lit(True))
-        if max(p.most_a, p.most_b) <= FULL_OUTER_ROWS:
-            joined = a.join(b, self.key, "full_outer")
-        else:
-            ones = self._suffixed(self.only_a(), "a").withColumn("_in_a", F.lit(True))
-            others = self._suffixed(self.only_b(), "b").withColumn("_in_b", F.lit(True))
-            joined = a.join(b, self.key)
-            for part in (ones, others):
-                joined = joined.unionByName(part, allowMissingColumns=True)
-        side = F.when(F.col("_in_b").isNull(), "only_a").when(F.col("_in_a").isNull(), "only_b")
-        return joined.withColumn("side", side.otherwise("both")).drop("_in_a", "_in_b")
+        """Pairs and one-sided rows with ``side`` = both / only_a / only_b.
+
+        The parts are united, since a full outer join can't be split by adaptive execution.
+        """
+        side = free_name("side", {c.lower() for c in self.key})
+        found = self.pairs().withColumn(side, F.lit("both"))
+        for rows, suffix, name in ((self.only_a(), "a", "only_a"), (self.only_b(), "b", "only_b")):
+            found = found.unionByName(self._suffixed(rows, suffix).withColumn(side, F.lit(name)), allowMissingColumns=True)
+        return found
 
     # -- heavy keys --------------------------------------------------------
 
@@ -332,8 +321,7 @@ class KeyedComparison(Comparison):
                 rows.select(
                     *self._keys,
                     *[self._same(col(c)).alias(c) for c in self.values],
-                    F.lit(marks[0]).cast("bigint").alias("rows_a"),
-                    F.lit(marks[1]).cast("bigint").alias("rows_b"),
+                    *[F.lit(n).cast("bigint").alias(name) for n, name in zip(marks, self._rows)],
                 )
             )
         return sides[0].unionByName(sides[1])
@@ -344,28 +332,36 @@ class KeyedComparison(Comparison):
         The pairs of a heavy key are the products of its a rows and b rows; this
         form lists the same facts in linear size.
         """
-        return self._heavy_rows().groupBy(*self._keys, *map(col, self.values)).agg(
-            F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b")
-        )
+        return self._heavy_rows().groupBy(*self._keys, *map(col, self.values)).agg(*self._row_sums)
+
+    @property
+    def _row_sums(self) -> list[Column]:
+        return [F.sum(col(r)).alias(r) for r in self._rows]
+
+    @property
+    def _row_product(self) -> Column:
+        a, b = (col(r).cast("decimal(19,0)") for r in self._rows)
+        return a * b
 
     def _totals(self) -> DataFrame:
         light = super()._totals()
         if not self.profile.heavy_keys or not self.values:
             return light
         spark = self.a.sparkSession
+        taken = {c.lower() for c in [*self.key, *self._rows]}
+        pos, value = free_name("pos", taken), free_name("v", taken)
         cells = F.array(
-            F.struct(F.lit(_ROW).alias("pos"), F.array(*map(col, self.values)).alias("v")),
-            *[F.struct(F.lit(i).alias("pos"), F.array(col(c)).alias("v")) for i, c in enumerate(self.values)],
+            F.struct(F.lit(_ROW).alias(pos), F.array(*map(col, self.values)).alias(value)),
+            *[F.struct(F.lit(i).alias(pos), F.array(col(c)).alias(value)) for i, c in enumerate(self.values)],
         )
         matching = (
             self._heavy_rows()
-            .select(*self._keys, "rows_a", "rows_b", F.inline(cells))
-            .groupBy(*self._keys, "pos", "v")
-            .agg(F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b"))
-            .where("rows_a > 0 and rows_b > 0")
+            .select(*self._keys, *map(col, self._rows), F.inline(cells))
+            .groupBy(*self._keys, pos, value)
+            .agg(*self._row_sums)
+            .where(F.least(*map(col, self._rows)) > 0)
         )
-        product = F.col("rows_a").cast("decimal(19,0)") * F.col("rows_b").cast("decimal(19,0)")
-        equal = matching.groupBy("pos").agg((-F.sum(product)).cast(_PAIRS).alias("n"))
+        equal = matching.groupBy(F.col(pos).alias("pos")).agg((-F.sum(self._row_product)).cast(_PAIRS).alias("n"))
         every = spark.range(_ROW, len(self.values)).select(
             F.col("id").cast("int").alias("pos"),
             F.lit(Decimal(self.profile.heavy_pairs)).cast(_PAIRS).alias("n"),
@@ -379,49 +375,48 @@ class KeyedComparison(Comparison):
         return self._wide(light.orderBy(*self._order()).limit(limit))
 
     def _heavy_top(self, limit: int) -> DataFrame:
-        """At least the first ``limit`` differing pairs of the heavy keys.
+        """The first ``limit`` differing pairs of the heavy keys.
 
-        Only the first ``limit`` heavy keys with a difference can matter. Of a key
-        only its first distinct rows per side matter: every row of a but one has a
-        differing partner, so the rank of a row bounds the pairs before it.
+        Running totals of differing pairs, first over the keys, then over the distinct
+        rows of a within a key, then over pairs, say which can matter; at each step
+        that is a small multiple of ``limit`` rows. Only pairs that are shown are copied.
         """
+        rows_a, rows_b = self._rows
         groups = stage(self.diff_groups(), "heavy-groups")
         keys, values = self._keys, [col(c) for c in self.values]
-        product = F.col("rows_a").cast("decimal(19,0)") * F.col("rows_b").cast("decimal(19,0)")
-        totals = [F.sum(F.col(r)).cast("decimal(19,0)") for r in ("rows_a", "rows_b")]
-        first_keys = (
-            groups.groupBy(*keys)
-            .agg(
-                (totals[0] * totals[1] - F.sum(product)).alias("_n_diff"),
-                F.count_if(F.col("rows_b") > 0).alias("_kinds_b"),
-            )
-            .where("_n_diff > 0")
-            .orderBy(*keys)
-            .limit(limit)
-            .select(*keys, "_kinds_b")
-        )
+        taken = {c.lower() for c in [*self.key, *(f"{c}__{s}" for c in self.values for s in "ab"), *self.values, *self._rows]}
+        n, start, all_b, part, rank, below = (free_name(c, taken) for c in ("_n", "_start", "_all_b", "_part", "_rank", "_below"))
+        totals = [F.sum(col(r)).cast("decimal(19,0)") for r in self._rows]
+
+        def started(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+            before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            return df.withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col(start) < limit)
+
+        # Each of these keys has a differing pair, so the first ``limit`` of them are enough.
+        of_key = groups.groupBy(*keys).agg((totals[0] * totals[1] - F.sum(self._row_product)).alias(n), totals[1].alias(all_b))
+        first_keys = stage(started(of_key.where(F.col(n) > 0).orderBy(*keys).limit(limit), keys).drop(n, start), "first-keys")
 
         def ranked(rows: str) -> DataFrame:
-            # Two steps, so that the rows of one key are first cut down in parallel.
-            by_part = Window.partitionBy(*keys, "_part").orderBy(*values)
-            by_key = Window.partitionBy(*keys).orderBy(*values)
-            side = groups.where(F.col(rows) > 0).withColumn("_part", F.pmod(F.xxhash64(*values), F.lit(64)))
+            """The first rows of each key; in two steps, so that those of one key are cut down in parallel."""
+            side = groups.where(col(rows) > 0).withColumn(part, F.pmod(F.xxhash64(*values), F.lit(64)))
             side = side.join(first_keys, self.key)
-            for window in (by_part, by_key):
-                side = side.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit + 1)
+            for by in ([*keys, F.col(part)], keys):
+                window = Window.partitionBy(*by).orderBy(*values)
+                side = side.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit + 1)
             return side
 
-        before = (F.col("_rank") - 2) * F.greatest(F.col("_kinds_b") - 1, F.lit(1))
-        a = self._suffixed_heavy(ranked("rows_a").where(before < limit), "a", "rows_a")
-        b = self._suffixed_heavy(ranked("rows_b"), "b", "rows_b")
-        copies = F.least(F.col("rows_a").cast("decimal(19,0)") * F.col("rows_b"), F.lit(limit)).cast("int")
-        differing = a.join(b, self.key).where(self._row_differs())
-        return differing.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop(
-            "rows_a", "rows_b", "_copy"
-        )
+        # Of a row of a, all rows of b but its equal ones differ.
+        a = ranked(rows_a).withColumn(n, col(rows_a).cast("decimal(19,0)") * (F.col(all_b) - col(rows_b)))
+        a = started(a.where(F.col(n) > 0), [*keys, *values])
+        a = self._suffixed_heavy(a.withColumn(below, limit - F.col(start) + 1), "a", rows_a, below)
+        b = self._suffixed_heavy(ranked(rows_b), "b", rows_b, rank)
+        pairs = a.join(b, self.key).where((F.col(rank) <= F.col(below)) & self._row_differs()).withColumn(n, self._row_product)
+        shown = started(pairs, self._order())
+        copies = F.least(F.col(n), limit - F.col(start)).cast("int")
+        return shown.withColumn(rank, F.explode(F.sequence(F.lit(1), copies))).drop(rows_a, rows_b, n, start, rank, below)
 
-    def _suffixed_heavy(self, side: DataFrame, suffix: str, rows: str) -> DataFrame:
-        return side.select(*self._keys, *[col(c).alias(f"{c}__{suffix}") for c in self.values], rows)
+    def _suffixed_heavy(self, side: DataFrame, suffix: str, *more: str) -> DataFrame:
+        return side.select(*self._keys, *[col(c).alias(f"{c}__{suffix}") for c in self.values], *map(col, more))
 
 
 class PositionalComparison(Comparison):
@@ -436,8 +431,10 @@ class PositionalComparison(Comparison):
         cleaned: bool = False,
         keep_original: bool = False,
         unique_order: bool = False,
+        helpers: Sequence[str] = (),
     ):
-        helper = {c for c in order_by if c.startswith("_")}
+        """``helpers`` are columns that give the order only and are not compared."""
+        helper = set(helpers)
         self.key = [POSITION]
         self.values = [c for c in a.columns if c in set(b.columns) and c not in helper]
         a, b = (with_position(side, order_by, unique_order).drop(*helper) for side in (a, b))
@@ -472,13 +469,15 @@ def compare(
     b: DataFrame,
     key: Sequence[str] = (),
     order_by: Sequence[str] = (),
-    **options: bool,
+    **options,
 ) -> Comparison:
     """Compare by key, or by position along ``order_by`` when there is no key.
 
     The search for a key is ``detect_key(a, b)``. Options: ``cleaned`` when the
     values are normalised already, ``keep_original`` to report values as they came
-    while comparing them normalised, ``unique_order`` when ``order_by`` has no ties.
+    while comparing them normalised, ``expand`` to list every pair of keys repeated on
+    both sides, ``unique_order`` when ``order_by`` has no ties, ``helpers`` for columns
+    that give the order but are not compared.
     """
     if key:
         return KeyedComparison(a, b, key, **options)
@@ -487,13 +486,19 @@ def compare(
     return PositionalComparison(a, b, order_by, **options)
 
 
-def count_sides(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+def free_name(name: str, taken: set[str]) -> str:
+    """A column name that none of ``taken`` (in lower case) has; it is taken from then on."""
+    while name.lower() in taken:
+        name += "_"
+    taken.add(name.lower())
+    return name
+
+
+def count_sides(a: DataFrame, b: DataFrame, by: Sequence[str], names: Sequence[str] = ("rows_a", "rows_b")) -> DataFrame:
     """Rows per group on either side, without a join: tag, union, count."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    tagged = a.withColumns({"rows_a": one, "rows_b": none}).unionByName(
-        b.withColumns({"rows_a": none, "rows_b": one})
-    )
-    return tagged.groupBy(*map(col, by)).agg(F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b"))
+    tagged = a.withColumns({names[0]: one, names[1]: none}).unionByName(b.withColumns({names[0]: none, names[1]: one}))
+    return tagged.groupBy(*map(col, by)).agg(*[F.sum(col(n)).alias(n) for n in names])
 
 
 def column_sets(a: Sequence[str], b: Sequence[str]) -> tuple[list[str], list[str], list[str]]:

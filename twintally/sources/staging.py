@@ -6,27 +6,15 @@ A staged table is plain Parquet in the shared folder the cluster names in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session.
-
-    It is taken from the session. Only a local session without one gets a folder
-    of its own; on a cluster a machine-local folder would be wrong, so that fails.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="twintally-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The shared folder of the session: its checkpoint folder, else its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -38,8 +38,8 @@ def add(name: str, query: Query, statement: str | None = None) -> None:
 # -- comparison by key -------------------------------------------------------
 
 
-def compared(pair: Pair, use: Callable[[KeyedComparison], DataFrame]) -> Query:
-    return lambda spark, sf_dir: use(KeyedComparison(*sides(spark, sf_dir, pair), pair.key))
+def compared(pair: Pair, use: Callable[[KeyedComparison], DataFrame], **options) -> Query:
+    return lambda spark, sf_dir: use(KeyedComparison(*sides(spark, sf_dir, pair), pair.key, **options))
 
 
 def add_keyed(pair: Pair, suffix: str) -> None:
@@ -47,12 +47,12 @@ def add_keyed(pair: Pair, suffix: str) -> None:
     rows = sql.diff_rows(ctes, key, values)
     a, b = (f"{duck_sides(pair)} {sql.missing(pair, *xy)}" for xy in ("ab", "ba"))
     order = ", ".join([*key, *values])
-    add(f"outer_status{suffix}", compared(pair, lambda c: c.outer()), sql.outer(pair))
+    add(f"outer_status{suffix}", compared(pair, lambda c: c.outer(), expand=True), sql.outer(pair))
     add(f"diff_counts{suffix}", compared(pair, lambda c: c.counts()), sql.diff_counts(pair))
     add(f"column_summary{suffix}", compared(pair, lambda c: c.column_summary()), sql.column_summary(ctes, values))
-    add(f"diff_rows{suffix}", compared(pair, lambda c: c.diff_rows()), rows)
+    add(f"diff_rows{suffix}", compared(pair, lambda c: c.diff_rows(), expand=True), rows)
     add(f"diff_rows_top{suffix}", compared(pair, lambda c: c.diff_rows_top(TOP_ROWS)), sql.diff_rows(ctes, key, values, TOP_ROWS))
-    add(f"diff_cells{suffix}", compared(pair, lambda c: c.diff_cells()), sql.diff_cells(ctes, key, values))
+    add(f"diff_cells{suffix}", compared(pair, lambda c: c.diff_cells(), expand=True), sql.diff_cells(ctes, key, values))
     add(f"only_a{suffix}", compared(pair, lambda c: c.only_a()), a)
     add(f"only_b{suffix}", compared(pair, lambda c: c.only_b()), b)
     add(f"only_a_top{suffix}", compared(pair, lambda c: c.only_a_top(100)), f"{a} ORDER BY {order} LIMIT 100")
@@ -78,15 +78,13 @@ add(
 add(
     "diff_groups_hot",
     compared(SUPPLIED, lambda c: c.diff_groups()),
-    f"""{duck_sides(SUPPLIED)}
-SELECT l_suppkey, l_linenumber, l_quantity, l_returnflag, sum(in_a)::BIGINT AS rows_a, sum(in_b)::BIGINT AS rows_b
-FROM (SELECT *, 1 AS in_a, 0 AS in_b FROM a UNION ALL SELECT *, 0, 1 FROM b)
-WHERE l_suppkey IN (SELECT l_suppkey FROM a GROUP BY 1 HAVING count(*) > 32)
-  AND l_suppkey IN (SELECT l_suppkey FROM b GROUP BY 1 HAVING count(*) > 32)
-GROUP BY 1, 2, 3, 4""",
+    sql.diff_groups(SUPPLIED),
 )
-# Without SQL: forming all pairs of the hot keys there takes minutes.
-add("diff_rows_top_hot", compared(SUPPLIED, lambda c: c.diff_rows_top(TOP_ROWS)))
+add("diff_rows_top_hot", compared(SUPPLIED, lambda c: c.diff_rows_top(TOP_ROWS)), sql.diff_rows_top_grouped(SUPPLIED, TOP_ROWS))
+
+# What is listed of keys repeated on both sides, and of those that are not.
+add("diff_rows_listed", compared(LINEITEM, lambda c: c.diff_rows()), sql.diff_rows_listed(LINEITEM))
+add("diff_groups_dup", compared(LINEITEM, lambda c: c.diff_groups()), sql.diff_groups(LINEITEM))
 
 
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,45 @@ SELECT {', '.join(shown)},
 FROM a FULL OUTER JOIN b ON {on}"""
 
 
+def repeated(pair: Pair) -> str:
+    """Keys repeated on both sides."""
+    keys = ", ".join(pair.key)
+    return " INTERSECT ".join(f"SELECT {keys} FROM {x} GROUP BY {keys} HAVING count(*) > 1" for x in "ab")
+
+
+def diff_rows_listed(pair: Pair) -> str:
+    """Differing pairs of keys that are unique on one side at least."""
+    keys = ", ".join(pair.key)
+    return f"SELECT * FROM ({diff_rows(keyed(pair), pair.key, pair.values)}) WHERE ({keys}) NOT IN (SELECT * FROM ({duck_sides(pair)} {repeated(pair)}))"
+
+
+def groups(pair: Pair, where: str) -> str:
+    columns = ", ".join([*pair.key, *pair.values])
+    return f"""SELECT {columns}, sum(in_a)::BIGINT AS rows_a, sum(in_b)::BIGINT AS rows_b
+FROM (SELECT {columns}, 1 AS in_a, 0 AS in_b FROM a UNION ALL SELECT {columns}, 0, 1 FROM b)
+WHERE ({', '.join(pair.key)}) IN ({where}) GROUP BY ALL"""
+
+
+def diff_groups(pair: Pair) -> str:
+    return f"{duck_sides(pair)}\n{groups(pair, repeated(pair))}"
+
+
+def diff_rows_top_grouped(pair: Pair, limit: int, keys: int = 3) -> str:
+    """The first differing rows from distinct rows and their numbers; the first keys have enough of them."""
+    key = ", ".join(pair.key)
+    on = " AND ".join(f"x.{k} = y.{k}" for k in pair.key)
+    shown = [f"x.{k}" for k in pair.key] + [f"x.{c} AS {c}__a, y.{c} AS {c}__b" for c in pair.values]
+    order = ", ".join([*pair.key, *(f"{c}__a" for c in pair.values), *(f"{c}__b" for c in pair.values)])
+    columns = [*pair.key] + [x for c in pair.values for x in (f"{c}__a", f"{c}__b", f"{num_diff(f'{c}__a', f'{c}__b')} AS {c}__num_diff")]
+    return f"""{duck_sides(pair)},
+f AS (SELECT {key} FROM ({repeated(pair)}) ORDER BY ALL LIMIT {keys}),
+g AS ({groups(pair, f'SELECT {key} FROM f')}),
+j AS (SELECT {', '.join(shown)}, x.rows_a * y.rows_b AS n FROM g x JOIN g y ON {on} AND x.rows_a > 0 AND y.rows_b > 0),
+d AS (SELECT *, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) - n AS start FROM j WHERE {differs(pair.values)}),
+e AS (SELECT *, unnest(range(least(n, {limit} - start)::BIGINT)) AS copy FROM d WHERE start < {limit})
+SELECT {', '.join(columns)} FROM e"""
+
+
 def listed(names: Sequence[str]) -> str:
     return "'" + (", ".join(names) or "—") + "'"
 
@@ -122,11 +161,12 @@ def pair_summary(pair: Pair, order: str | None = None) -> str:
         one_sided = [f"(SELECT count(*) FROM ({missing(pair, x, y)}))" for x, y in ("ab", "ba")]
         keys = ", ".join(pair.key)
         dups = [f"(SELECT count(*) FROM (SELECT {keys} FROM {x} GROUP BY {keys} HAVING count(*) > 1))" for x in "ab"]
+        heavy = f"(SELECT count(*) FROM ({repeated(pair)}))"
         key_used = f"'{keys}'"
     else:
         ctes = positional(pair, order)
         one_sided = [f"greatest((SELECT count(*) FROM {x}) - (SELECT count(*) FROM {y}), 0)" for x, y in ("ab", "ba")]
-        dups = ["0", "0"]
+        dups, heavy = ["0", "0"], "0"
         key_used = "'(confronto posizionale)'"
     same_columns = not only_a and not only_b
     return f"""{ctes},
@@ -142,7 +182,7 @@ SELECT '{pair.label}' AS label, '{pair.label}.a' AS name_a, '{pair.label}.b' AS
             THEN 'OK' ELSE 'DIFFERENZE' END AS outcome,
        {key_used} AS key_used, matched_rows, rows_only_a, rows_only_b,
        CAST(dup_keys_a AS BIGINT) AS dup_keys_a, CAST(dup_keys_b AS BIGINT) AS dup_keys_b,
-       CAST(0 AS BIGINT) AS heavy_keys, '' AS row_filter, '' AS unfiltered, FALSE AS no_match_warning FROM s"""
+       CAST({heavy} AS BIGINT) AS heavy_keys, '' AS row_filter, '' AS unfiltered, FALSE AS no_match_warning FROM s"""
 
 
 # -- keys --------------------------------------------------------------------
