@@ -96,3 +96,30 @@ def test_families(spark, write, tmp_path):
         "DW.M.PLZHA.ALL": ("DW.M.PLZHA.ALL.20260201000000.20260201000000.zip", None),
     }
     assert find_families(list_deliveries(spark, str(tmp_path)), "plzha").count() == 1
+
+
+def test_all_lines_decide_on_prefixes(spark, write):
+    plain, marked = [f"{i};v" for i in range(2970)], [f"#{i};#v" for i in range(30)]
+    first = read_delimited(spark, write("m.csv", "\n".join(["A_1;B", *marked, *plain])))
+    last = read_delimited(spark, write("p.csv", "\n".join(["A_1;B", *plain[:30], *marked, *marked, *marked])))
+    assert "#" not in first.strip_chars and first.rows.where("B = '#v'").count() == 30
+    assert "#" in last.strip_chars and last.rows.where("B = '#v'").count() == 0
+
+
+def test_all_lines_decide_on_the_separator(spark, write):
+    found = read_delimited(spark, write("s.csv", "\n".join(["A_1|B"] + ["x,y,z|1"] * 40 + ["p|2"] * 4000)))
+    assert found.sep == "|" and found.columns == ["A_1", "B"] and found.rejected.count() == 0
+
+
+def test_parts_with_headers_and_a_mark(spark, write, tmp_path):
+    write("d/part-0.csv", "﻿A_1;B\n1;x\n")
+    write("d/part-1.csv", "A_1;B\n﻿2;y\nA_1;B\n3;z\n3;z\n3;z\n")
+    found = read_delimited(spark, str(tmp_path / "d"))
+    assert found.columns == ["A_1", "B"]
+    assert sorted(tuple(r) for r in found.rows.collect()) == sorted([("1", "x"), ("﻿2", "y"), ("A_1", "B")] + [("3", "z")] * 3)
+
+
+def test_rejected_lines_are_whole(spark, write):
+    long = "a;b;" + "c" * 5000
+    found = read_delimited(spark, write("l.csv", f"A_1;B\n1;2\n{long}\n"))
+    assert [r["line"] for r in found.rejected.collect()] == [long]

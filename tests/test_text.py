@@ -79,11 +79,11 @@ def test_column_names():
 
 
 def test_prefix_chars():
-    assert prefix_chars(["£NUM", "COD"], [], ";£") == ";£"
-    assert prefix_chars(["£NUM", "£COD", "D"], [], ";") == ";£"
-    assert prefix_chars(["£NUM", "B", "C", "D", "E"], [], ";") == ";"
-    assert prefix_chars(["NUM", "COD"], ["#00063", "#00064", "x"], ";") == "#;"
-    assert prefix_chars(["NUM", "COD"], ["#00063", "y", "x"], ";") == ";"
+    assert prefix_chars(["£NUM", "COD"], {}, 0, ";£") == ";£"
+    assert prefix_chars(["£NUM", "£COD", "D"], {}, 0, ";") == ";£"
+    assert prefix_chars(["£NUM", "B", "C", "D", "E"], {}, 0, ";") == ";"
+    assert prefix_chars(["NUM", "COD"], {"#": 2}, 3, ";") == "#;"
+    assert prefix_chars(["NUM", "COD"], {"#": 1}, 3, ";") == ";"
 
 
 def test_settings(spark):

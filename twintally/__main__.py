@@ -1,6 +1,6 @@
 """Command line: ``spark-submit``-able entry for runs over files.
 
-    python -m twintally pairs ASIS TOBE OUT [--sep S] [--key A,B] [--filter COL=val]
+    python -m twintally pairs ASIS TOBE OUT [--sep S] [--key A,B] [--filter COL=val] [--how full|left]
     python -m twintally families OUT (--base-dir DIR | --asis DIR --tobe DIR) [--prefix P]
 """
 
@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     pairs.add_argument("--sep", help="separator, or one of: " + ", ".join(SEPARATOR_PRESETS))
     pairs.add_argument("--key", help="key columns, comma separated")
     pairs.add_argument("--filter", help="COL=val;COL2=val2")
+    pairs.add_argument("--how", default="full", choices=["full", "left"], help="which files without a partner are listed")
     families = commands.add_parser("families", help="compare old and new deliveries by family")
     families.add_argument("out")
     families.add_argument("--base-dir")
@@ -50,6 +51,7 @@ def main(argv: list[str] | None = None) -> None:
             sep=SEPARATOR_PRESETS.get(args.sep, args.sep),
             key=parse_key(args.key) or None,
             row_filter=parse_row_filter(args.filter),
+            how=args.how,
             **shared,
         )
     else:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from twintally.functions.text import VALUE_PREFIXES
 
 # Shares from which a prefix is taken to belong to all names or values.
 PREFIX_NAME_SHARE = 0.30
 PREFIX_VALUE_SHARE = 0.50
-PREFIX_SAMPLE = 30
 
 
 def generated_names(n: int) -> list[str]:
@@ -41,18 +40,17 @@ def is_artifact(name: str) -> bool:
     return not re.search(r"\w", name) or re.fullmatch(r"unnamed:\s*\d+", name.strip().lower()) is not None
 
 
-def prefix_chars(names: Sequence[str], first_values: Sequence[str], sep: str) -> str:
+def prefix_chars(names: Sequence[str], marked_values: Mapping[str, int], n_values: int, sep: str) -> str:
     """Characters to strip from the left of names and values.
 
     They are the special characters of the separator, plus one known prefix that
-    enough names carry, plus one that enough values of the first column carry.
+    enough names carry, plus one that enough of all ``n_values`` values of the first
+    column carry; ``marked_values`` counts these by prefix.
     """
     chars = {c for c in sep if not c.isalnum() and c != "_"}
-    sample = [v for v in first_values if v is not None][:PREFIX_SAMPLE]
-    marked = next((n[0] for n in names if n and n[0] in VALUE_PREFIXES and n[0] not in chars), None)
-    if marked and sum(n.startswith(marked) for n in names) >= max(1, len(names) * PREFIX_NAME_SHARE):
-        chars.add(marked)
-    marked = next((v[0] for v in sample if len(v) > 1 and v[0] in VALUE_PREFIXES), None)
-    if marked and sum(v.startswith(marked) for v in sample) >= len(sample) * PREFIX_VALUE_SHARE:
-        chars.add(marked)
+    on_names = Counter(n[0] for n in names if n and n[0] in VALUE_PREFIXES and n[0] not in chars)
+    for counts, enough in ((on_names, max(1, len(names) * PREFIX_NAME_SHARE)), (marked_values, n_values * PREFIX_VALUE_SHARE)):
+        mark = max(counts, key=lambda c: (counts[c], -ord(c)), default=None)
+        if mark is not None and counts[mark] >= enough:
+            chars.add(mark)
     return "".join(sorted(chars))

@@ -20,7 +20,6 @@ from twintally.sources.staging import stage
 # Separators in order of priority, and what decides between them.
 SEPARATORS = [";|", ";£", "£|", "|;", "\t", ";", ",", "|", "£"]
 DEFAULT_SEPARATOR = ";"
-SNIFF_LINES = 30
 COMPOUND_SHARE = 0.5
 # What a column name looks like and how many names make a header.
 COLUMN_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
@@ -45,7 +44,7 @@ def _sniffed(lines: DataFrame, sample_lines: int | None) -> DataFrame:
 # -- separator -------------------------------------------------------------
 
 
-def compound_separators(lines: DataFrame, sample_lines: int | None = SNIFF_LINES) -> DataFrame:
+def compound_separators(lines: DataFrame, sample_lines: int | None = None) -> DataFrame:
     """Per file the special character that follows ';' most often.
 
     ``accepted`` says whether ';' plus that character is a separator: it follows
@@ -71,10 +70,12 @@ def compound_separators(lines: DataFrame, sample_lines: int | None = SNIFF_LINES
 
 
 def separator_scores(
-    lines: DataFrame, candidates: Sequence[str] | None = None, sample_lines: int | None = SNIFF_LINES
+    lines: DataFrame, candidates: Sequence[str] | None = None, sample_lines: int | None = None
 ) -> DataFrame:
     """Mean occurrences per line over (1 + sample variance), per file and candidate
-    that occurs at all. ``priority`` 0 is a compound found in the file itself."""
+    that occurs at all. ``priority`` 0 is a compound found in the file itself.
+
+    All sums are of whole numbers, so equal counts give equal scores in any order."""
     sniffed = _sniffed(lines, sample_lines)
     listed = F.array(
         *[
@@ -98,18 +99,20 @@ def separator_scores(
     return (
         sniffed.select("file", F.inline(counts))
         .groupBy("file", "priority", "sep")
-        .agg(
-            F.avg("n").alias("mean"),
-            F.coalesce(F.var_samp("n"), F.lit(0.0)).alias("variance"),
-            F.max("n").alias("most"),
-        )
-        .where("most > 0")
-        .select("file", "priority", "sep", (F.col("mean") / (1 + F.col("variance"))).alias("score"))
+        .agg(F.count("*").alias("lines"), F.sum("n").alias("s"), F.sum(F.col("n").cast("bigint") * F.col("n")).alias("q"))
+        .where("s > 0")
+        .select("file", "priority", "sep", _score(*(F.col(c).cast("decimal(19,0)") for c in ("lines", "s", "q"))).alias("score"))
     )
 
 
+def _score(n: Column, s: Column, q: Column) -> Column:
+    """s/n over 1 + (n q - s s) / (n (n - 1)), with one division; n lines, sum s, sum of squares q."""
+    several = (s * (n - 1)).cast("double") / (n * (n - 1) + n * q - s * s).cast("double")
+    return F.when(n > 1, several).otherwise(s.cast("double"))
+
+
 def detect_separators(
-    lines: DataFrame, candidates: Sequence[str] | None = None, sample_lines: int | None = SNIFF_LINES
+    lines: DataFrame, candidates: Sequence[str] | None = None, sample_lines: int | None = None
 ) -> DataFrame:
     """``(file, sep)``: best score, earlier candidate on a tie, ';' when none occurs."""
     best = separator_scores(lines, candidates, sample_lines).groupBy("file").agg(

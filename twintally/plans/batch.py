@@ -150,7 +150,7 @@ def run(
     sep: str | None = None,
     key: Sequence[str] | None = None,
     row_filter: Mapping[str, str] | None = None,
-    how: str = "left",
+    how: str = "full",
     key_sample_rows: int | None = None,
     format: str = "parquet",
     parallel: int = PARALLEL_PAIRS,
@@ -159,7 +159,8 @@ def run(
     """Compare all pairs of files under two paths, write every report below ``out``
     and return the issue records.
 
-    A pair that fails is recorded with its error and does not stop the others. The
+    ``how`` is "full" to list files without a partner on either side as unpaired, or
+    "left" for those of the first path only. A pair that fails is recorded with its error and does not stop the others. The
     key is searched on whole files unless ``key_sample_rows`` limits the search.
     """
     listed = match_files(list_sources(spark, a_path), list_sources(spark, b_path), how)

@@ -28,7 +28,6 @@ SEP_DIFFERS, SEP_SAME = "SI'", "No"
 SIDE_A, SIDE_B = "AS-IS", "TO-BE"
 MISSING_FILE = "— MANCANTE —"
 POSITIONAL = "(confronto posizionale)"
-LINE_CHARS = 500
 
 RECORD_SCHEMA = """
     label string, name_a string, name_b string, sep_a string, sep_b string, sep_ok boolean,
@@ -255,13 +254,13 @@ def issue_spaces(records: DataFrame) -> DataFrame:
 
 
 def issue_lines(rejected: DataFrame, label: str, side: str, name: str) -> DataFrame:
-    """Lines left out of one file, cut for display."""
+    """Lines left out of one file, whole."""
     return rejected.select(
         F.lit(label).alias("label"),
         F.lit(side).alias("side"),
         F.lit(name).alias("name"),
         "line_no",
-        F.substring("line", 1, LINE_CHARS).alias("line"),
+        "line",
     )
 
 

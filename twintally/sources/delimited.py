@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twintally.functions.text import clean, col, lstrip_chars, strip, text
+from twintally.functions.text import VALUE_PREFIXES, clean, col, lstrip_chars, strip, text
 from twintally.operators.columns import dedup_columns, generated_names, is_artifact, prefix_chars
 from twintally.operators.sniff import (
     DEFAULT_SEPARATOR,
-    SNIFF_LINES,
     detect_separators,
     fields,
     is_blank,
@@ -28,7 +25,6 @@ from twintally.sources.staging import stage
 
 UTF8, CP1252 = "utf-8", "cp1252"
 LINE_ORDER = ["_file", "_block", "_at"]
-HEAD_LINES = SNIFF_LINES + 2
 
 # Separators a user can pick by name.
 SEPARATOR_PRESETS = {
@@ -73,7 +69,7 @@ class Delivery:
 def decode(value: Column, encoding: str) -> Column:
     """Raw line bytes as text; undecodable bytes become the replacement character."""
     if encoding == UTF8:
-        return F.ltrim(F.make_valid_utf8(value), F.lit("\ufeff"))
+        return F.make_valid_utf8(value.cast("string"))
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
     return F.translate(latin, _C1_LATIN, _C1_TEXT)
 
@@ -109,10 +105,20 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return UTF8 if row is None or row["is_utf8"] is not False else CP1252
 
 
-def head_lines(spark: SparkSession, path: str, encoding: str, n: int = HEAD_LINES) -> list[str]:
-    """First non-blank lines, for the decisions about the file."""
-    lines = raw_lines(spark, path).select(decode(F.col("value"), encoding).alias("value"))
-    return [row["value"] for row in lines.where(~is_blank(F.col("value"))).limit(n).collect()]
+def _staged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The undecoded lines, written once: all decisions and the parse read them from there."""
+    lines = raw_lines(spark, path).withColumn("value", F.col("value").cast("binary"))
+    return stage(lines.withColumn("_valid", F.is_valid_utf8(F.col("value").cast("string"))), "raw-lines")
+
+
+def _decoded_lines(raw: DataFrame, encoding: str) -> DataFrame:
+    """Text lines, without the byte-order mark before the first line of a file, which ``_top`` marks."""
+    at = F.struct("_block", "_at")
+    top = stage(raw.groupBy("_file").agg(F.min(at).alias("_first_at")), "first-lines")
+    lines = raw.join(top, "_file").withColumn("_top", at == F.col("_first_at")).drop("_first_at")
+    value = decode(F.col("value"), encoding)
+    bare = F.when(F.col("_top"), F.ltrim(value, F.lit("\ufeff"))).otherwise(value) if encoding == UTF8 else value
+    return lines.withColumn("value", bare)
 
 
 def _lines_frame(spark: SparkSession, head: list[str]) -> DataFrame:
@@ -121,11 +127,24 @@ def _lines_frame(spark: SparkSession, head: list[str]) -> DataFrame:
     )
 
 
-def detect_separator(spark: SparkSession, head: list[str]) -> str:
-    row = detect_separators(_lines_frame(spark, head[:SNIFF_LINES])).first() if head else None
+def _separator(lines: DataFrame) -> str:
+    """The separator of the file, from all its lines."""
+    numbered = lines.select(F.lit("file").alias("file"), F.lit(1).cast("bigint").alias("line_no"), "value")
+    row = detect_separators(numbered).first()
     return row["sep"] if row else DEFAULT_SEPARATOR
 
 
+def _marked_values(lines: DataFrame, head: str | None, sep: str, quote: str | None) -> tuple[dict[str, int], int]:
+    """How many values of the first column begin with each known prefix, and how many values there are."""
+    data = lines.where(F.col("value") != head) if head is not None else lines
+    first = F.ltrim(F.get(fields(F.col("value"), sep, quote), F.lit(0)))
+    counted = data.select(first.alias("v")).groupBy(
+        F.when((F.length("v") > 1) & F.lit(VALUE_PREFIXES).contains(F.substring("v", 1, 1)), F.substring("v", 1, 1)).alias("mark")
+    )
+    rows = counted.count().collect()
+    return {r["mark"]: r["count"] for r in rows if r["mark"]}, sum(r["count"] for r in rows)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -138,18 +157,25 @@ def read_delimited(
 ) -> Delivery:
     """Read one file, or one archive entry (``archive.zip::entry``), as strings.
 
-    A folder of part files without headers counts as one file.
+    A folder of part files counts as one file; each part may carry the header.
 
-    Separator, header and encoding are found out unless given. The lines are parsed
-    in one scan whose result is staged: the rows, the rejected lines and the line
-    order then all come from the same written table. ``legacy`` is the older rule
+    Separator, header, encoding and prefixes are found out from all lines unless
+    given. The raw lines are staged, and so is their parse: decisions, rows, rejected
+    lines and the line order all come from written tables. ``legacy`` is the older rule
     set: ';', UTF-8, its own header test, only unnamed columns dropped, values only
     stripped. ``multi_line`` allows line breaks in quoted fields; such a file cannot
     be split, so it is read by one task, and its rejected rows have no line number.
     """
+    raw = _staged_lines(spark, path)
+    if encoding is None and not legacy and ENTRY_MARK not in path:
+        row = raw.agg(F.bool_and("_valid").alias("is_utf8")).first()
+        encoding = CP1252 if row["is_utf8"] is False else UTF8
     encoding = encoding or (UTF8 if legacy else detect_encoding(spark, path))
-    head = head_lines(spark, path, encoding)
-    sep = sep or (DEFAULT_SEPARATOR if legacy else detect_separator(spark, head))
+    lines = _decoded_lines(raw, encoding)
+    filled = lines.where(~is_blank(F.col("value")))
+    # The first line and the first data line.
+    head = [r["value"] for r in filled.orderBy(*LINE_ORDER).select("value").limit(2).collect()]
+    sep = sep or (DEFAULT_SEPARATOR if legacy else _separator(filled))
 
     tested = _lines_frame(spark, head).orderBy("line_no").select(
         fields(F.col("value"), sep, quote).alias("parts"), is_header(F.col("value"), sep, legacy).alias("header")
@@ -161,8 +187,7 @@ def read_delimited(
     if legacy and not has_header:
         names = [str(i) for i in range(expected)]
     names = dedup_columns(names + [""] * (expected - len(names)))
-    data = parts[1:] if has_header else parts
-    chars = "" if legacy else prefix_chars(names, [p[0] for p in data], sep)
+    chars = "" if legacy else prefix_chars(names, *_marked_values(filled, head[0] if has_header and head else None, sep, quote), sep)
     if chars:
         names = dedup_columns(n.lstrip(chars) for n in names)
     kept = [(i, n) for i, n in enumerate(names) if n and (legacy or not is_artifact(n))]
@@ -176,15 +201,18 @@ def read_delimited(
         parsed = _multi_line_records(spark, path, sep, encoding, quote, has_header, names, kept, value)
     else:
         line = F.col("value")
+        # The header stands in the first line with content of a file; a data row may repeat its text.
+        at = F.struct("_block", "_at")
+        firsts = stage(filled.groupBy("_file").agg(F.min(at).alias("_begin")), "first-filled-lines")
+        is_head = (line == head[0]) & (at == F.col("_begin")) if has_header and head else F.lit(False)
         kind = (
             F.when(is_blank(line), "blank")
+            .when(is_head, "header")
             .when(too_long(F.col("_parts"), expected), "rejected")
-            .when((line == head[0]) if has_header and head else F.lit(False), "header")
             .otherwise("row")
         )
         parsed = (
-            raw_lines(spark, path)
-            .withColumn("value", decode(line, encoding))
+            lines.join(firsts, "_file", "left")
             .withColumn("_parts", fields(line, sep, quote))
             .select(
                 *LINE_ORDER,
@@ -195,12 +223,7 @@ def read_delimited(
             )
         )
     staged = stage(parsed, "delivery")
-    in_order = F.struct(*LINE_ORDER)
-    first = staged.where("_kind = 'header'").agg(F.min(in_order).alias("first")).first()["first"]
-    # A data row may repeat the header text; only its first occurrence is the header.
-    is_first = reduce(and_, [F.col(c) == F.lit(first[c]) for c in LINE_ORDER]) if first else F.lit(False)
-    is_row = F.col("_kind").isin("row", "header") & ~is_first
-    counted = staged.where((F.col("_kind") != "blank") & ~is_first)
+    counted = staged.where(~F.col("_kind").isin("blank", "header"))
     return Delivery(
         name=path.rsplit("/", 1)[-1],
         path=path,
@@ -208,7 +231,7 @@ def read_delimited(
         encoding=encoding,
         has_header=has_header,
         columns=columns,
-        ordered=staged.where(is_row).select(*LINE_ORDER, *map(col, columns)),
+        ordered=staged.where("_kind = 'row'").select(*LINE_ORDER, *map(col, columns)),
         rejected=_rejected(staged).withColumn("line_no", F.lit(None).cast("bigint")) if multi_line else _rejected(staged),
         spaced=counted.agg(F.coalesce(F.sum("_spaced"), F.lit(0)).alias("n_spaced")),
         strip_chars=chars,

@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 TOP_ROWS = 1000
+FIRST_LINES = 30
 
 
 def add(name: str, query: Query, statement: str | None = None) -> None:
@@ -180,7 +181,7 @@ add(
 def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The b side of the customer pair read as a delivery separated by ';#'."""
     _, b = sides(spark, sf_dir, CUSTOMER)
-    chars = prefix_chars(b.columns, [], ";#")
+    chars = prefix_chars(b.columns, {}, 0, ";#")
     return b.select(*[F.ltrim(clean(col(c)), F.lit(chars)).alias(c) for c in b.columns])
 
 
@@ -416,8 +417,8 @@ add("sep_detect", lambda spark, sf: sniff.detect_separators(lines(spark, sf), sa
 # The default rule: the first thirty lines of a file decide.
 add(
     "sep_detect_first_lines",
-    lambda spark, sf: sniff.detect_separators(lines(spark, sf)),
-    f"{sniff_sql(sniff.SNIFF_LINES)} SELECT * FROM seps",
+    lambda spark, sf: sniff.detect_separators(lines(spark, sf), sample_lines=FIRST_LINES),
+    f"{sniff_sql(FIRST_LINES)} SELECT * FROM seps",
 )
 
 
