@@ -477,6 +477,53 @@ add(
     f"{duck_sides(ORDERS)} SELECT " + ", ".join(f"{c} AS Col_{i + 1}" for i, c in enumerate(ORDERS.columns)) + " FROM b",
 )
 
+
+
+def delivery(df: DataFrame, name: str, **options) -> str:
+    """The path of ``df`` written as part files that each carry the header."""
+    path = new_path(df.sparkSession, name)
+    df.write.options(header=True, sep=";", **options).csv(path)
+    return path
+
+
+def scan_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in quotes, with columns that only a stray separator leaves behind."""
+    found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("C_KEY"), F.concat("c_name", F.lit('; "n"')).alias("C_NAME"), F.lit(" ").alias("#"), F.lit("x").alias("Unnamed: 3")
+    )
+    return read_delimited(spark, delivery(found, "headers", quoteAll=True, escape='"')).rows
+
+
+add("scan_headers", scan_headers, """SELECT CAST(c_custkey AS VARCHAR) AS C_KEY, c_name || '; "n"' AS C_NAME FROM customer""")
+
+
+def scan_cp1252(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in an encoding that is not UTF-8."""
+    name = F.concat(F.col("c_name"), F.lit(" \u00e9\u00a3"))
+    found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("C_KEY"), name.alias("C_NAME"))
+    return read_delimited(spark, delivery(found, "cp1252", encoding="ISO-8859-1")).rows
+
+
+add("scan_cp1252", scan_cp1252, "SELECT CAST(c_custkey AS VARCHAR) AS C_KEY, c_name || ' \u00e9\u00a3' AS C_NAME FROM customer")
+
+
+def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with too many fields, whole: every 50th customer has two long fields more."""
+    found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("C_KEY"), F.col("c_name").alias("C_NAME"))
+    more = F.when(F.col("C_KEY") % 50 == 7, F.concat(F.lit(";"), F.repeat("C_NAME", 100), F.lit(";z"))).otherwise("")
+    path = new_path(spark, "lines")
+    found.select(F.concat("C_KEY", F.lit(";"), "C_NAME", more).alias("value")).write.text(path)
+    rejected = read_delimited(spark, path, header=False).rejected
+    return report.issue_lines(rejected, "customer", report.SIDE_A, "customer.a").drop("line_no")
+
+
+add(
+    "issue_lines",
+    issue_lines,
+    """SELECT 'customer' AS label, 'AS-IS' AS side, 'customer.a' AS name,
+       c_custkey || ';' || c_name || ';' || repeat(c_name, 100) || ';z' AS line FROM customer WHERE c_custkey % 50 = 7""",
+)
+
 # -- batch and issue log -----------------------------------------------------
 
 BATCH = [ORDERS, CUSTOMER, LINEITEM, EVENTS, NATION]
