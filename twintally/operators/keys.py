@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import combinations
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import combinations, islice
 from math import prod
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintally.functions.text import col, text
+from twintally.functions.text import col
 from twintally.operators.compare import column_sets
+from twintally.sources.staging import stage
 
 # Sizes and scores that decide on a key.
 MAX_KEY_COLUMNS = 4
@@ -22,60 +25,66 @@ TOO_AMBIGUOUS = 0.5
 FIRST_COMBINATIONS = 2
 COMBINATIONS_PER_JOB = 16
 
-# A table of up to this many rows may well sit in one file that cannot be split; it
-# is dealt out evenly before its rows are multiplied. Larger ones have many splits.
-SPREAD_ROWS = 20_000_000
-ROWS_PER_TASK = 20_000
-SPREAD_COMBINATIONS = 5
 
+def _hash(values: Sequence[Column], salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), *values)
 
-def distinct_counts(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]], skip_null: bool = False) -> DataFrame:
-    """Exact number of distinct value tuples per combination and side.
 
-    All combinations share one shuffle: each row yields its tuples, equal tuples
-    are dropped before and after the shuffle, and the rest is counted. With
-    ``skip_null`` a tuple with a null is not counted; else null counts as ''.
+def hashed_sides(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Both sides in one table: ``side``, and two 64-bit hashes per column, null where the value is null.
+
+    Tuples are told apart by 128 bits, whatever the length of their values.
     """
+    shown = []
+    for i, c in enumerate(columns):
+        value = col(c).cast("string")
+        shown.append(F.when(value.isNotNull(), F.struct(*[_hash([value], salt).alias(f"h{salt}") for salt in (1, 2)])).alias(f"c{i}"))
+    sides = [df.select(F.lit(side).alias("side"), *shown) for side, df in (("a", a), ("b", b))]
+    return sides[0].unionByName(sides[1])
+
+
+def _tuple_hash(places: Sequence[int], skip_null: bool, salt: int) -> Column:
+    parts = []
+    for i in places:
+        own = F.col(f"c{i}.h{salt}")
+        parts.append(own if skip_null else F.coalesce(own, _hash([F.lit("")], salt)))
+    whole = parts[0] if len(parts) == 1 else _hash(parts, salt)
+    # The hash of several columns passes over nulls.
+    return whole if not skip_null else F.when(reduce(and_, [p.isNotNull() for p in parts]), whole)
+
+
+def _counts(hashed: DataFrame, columns: Sequence[str], combos: Sequence[Sequence[str]], skip_null: bool) -> DataFrame:
+    place = {c: i for i, c in enumerate(columns)}
     tuples = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("combo"),
-                _tuple_text(combo, skip_null).alias("v"),
-            )
-            for i, combo in enumerate(combos)
+            F.struct(F.lit(k).alias("combo"), *[_tuple_hash([place[c] for c in combo], skip_null, salt).alias(f"h{salt}") for salt in (1, 2)])
+            for k, combo in enumerate(combos)
         ]
     )
-    sides = [df.select(F.lit(side).alias("side"), F.inline(tuples)) for side, df in (("a", a), ("b", b))]
-    rows = sides[0].unionByName(sides[1])
-    if skip_null:
-        rows = rows.where(F.col("v").isNotNull())
+    rows = hashed.select("side", F.inline(tuples)).where("h1 IS NOT NULL")
     counted = rows.distinct().groupBy("combo", "side").count()
     return counted.groupBy("combo").agg(
         *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("count"))), F.lit(0)).alias(f"distinct_{s}") for s in "ab"]
     )
 
 
-def _spread(df: DataFrame, rows: int, combos: int) -> DataFrame:
-    if combos < SPREAD_COMBINATIONS:
-        return df
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK)
-    return df.repartition(tasks) if tasks > 1 and rows <= SPREAD_ROWS else df
-
+def distinct_counts(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]], skip_null: bool = False) -> DataFrame:
+    """Number of distinct value tuples per combination and side.
 
-def _tuple_text(combo: Sequence[str], skip_null: bool) -> Column:
-    """A value tuple as one text. The length before every value but the last keeps
-    different tuples apart; one text is cheaper to group by than an array."""
-    values = [col(c).cast("string") if skip_null else text(col(c)) for c in combo]
-    parts = [p for v in values[:-1] for p in (F.char_length(v).cast("string"), F.lit(":"), v)]
-    return F.concat(*parts, values[-1])
+    All combinations share one shuffle: each row yields a hash of every tuple, equal
+    ones are dropped before and after the shuffle, and the rest is counted. With
+    ``skip_null`` a tuple with a null is not counted; else null counts as ''.
+    """
+    columns = list(dict.fromkeys(c for combo in combos for c in combo))
+    return _counts(hashed_sides(a, b, columns), columns, combos, skip_null)
 
 
-def _growing(combos: Sequence[tuple[str, ...]], start: int = FIRST_COMBINATIONS) -> Iterator[list[tuple[str, ...]]]:
-    """Slices of 2, 4, 8, ... combinations up to the number per job."""
-    at, size = 0, start
-    while at < len(combos):
-        yield list(combos[at : at + size])
-        at, size = at + size, min(size * 2, COMBINATIONS_PER_JOB)
+def _growing(combos: Iterable[tuple[str, ...]], start: int = FIRST_COMBINATIONS) -> Iterator[list[tuple[str, ...]]]:
+    """Slices of 2, 4, 8, ... combinations up to the number per job, taken as they come."""
+    waiting, size = iter(combos), start
+    while batch := list(islice(waiting, size)):
+        yield batch
+        size = min(size * 2, COMBINATIONS_PER_JOB)
 
 
 def key_uniqueness(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]]) -> DataFrame:
@@ -83,7 +92,7 @@ def key_uniqueness(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]])
     rows_a, rows_b = a.count(), b.count()
     names = F.element_at(F.array(*[F.lit(",".join(c)) for c in combos]), F.col("combo") + 1)
     shares = [F.col(f"distinct_{s}") / F.lit(max(n, 1)) for s, n in (("a", rows_a), ("b", rows_b))]
-    return distinct_counts(_spread(a, rows_a, len(combos)), _spread(b, rows_b, len(combos)), combos).select(
+    return distinct_counts(a, b, combos).select(
         names.alias("columns"),
         "distinct_a",
         "distinct_b",
@@ -96,14 +105,16 @@ def key_uniqueness(a: DataFrame, b: DataFrame, combos: Sequence[Sequence[str]])
 class _Counter:
     """Distinct counts of combinations met so far, and bounds they imply for others."""
 
-    def __init__(self, a: DataFrame, b: DataFrame):
-        self.a, self.b = a, b
-        self.rows = (a.count(), b.count())
+    def __init__(self, a: DataFrame, b: DataFrame, columns: Sequence[str]):
+        self.columns = list(columns)
+        # Read and hashed once; every job of the search reads only the columns it counts.
+        self.hashed = stage(hashed_sides(a, b, columns), "hashed-columns")
+        sizes = {r["side"]: r["count"] for r in self.hashed.groupBy("side").count().collect()}
+        self.rows = (sizes.get("a", 0), sizes.get("b", 0))
         self.known: dict[tuple[str, ...], tuple[int, int]] = {}
 
     def count(self, combos: Sequence[tuple[str, ...]], skip_null: bool = False) -> None:
-        sides = [_spread(df, n, len(combos)) for df, n in zip((self.a, self.b), self.rows)]
-        for row in distinct_counts(*sides, combos, skip_null).collect():
+        for row in _counts(self.hashed, self.columns, combos, skip_null).collect():
             self.known[combos[row["combo"]]] = (row["distinct_a"], row["distinct_b"])
         for combo in combos:
             self.known.setdefault(combo, (0, 0))
@@ -138,13 +149,13 @@ def detect_key(
     a, b = (df.select(*map(col, common)) for df in (a, b))
     if sample_rows is not None:
         a, b = a.limit(sample_rows), b.limit(sample_rows)
-    counter = _Counter(a, b)
+    counter = _Counter(a, b, common)
     best, best_score, ceiling = (), -1.0, 1.0
     for size in range(1, min(max_columns, len(common)) + 1):
         if size == 2:
             counter.count([tuple(common)])
             ceiling = counter.score(counter.known[tuple(common)])
-        for batch in _growing(list(combinations(common, size))):
+        for batch in _growing(combinations(common, size)):
             if size > 1:
                 batch = [c for c in batch if best_score < counter.score([counter.at_most(c, s) for s in (0, 1)])]
             fresh = [c for c in batch if c not in counter.known]
@@ -170,18 +181,18 @@ def detect_key_strict(a: DataFrame, b: DataFrame) -> list[str]:
     if not common:
         return []
     a, b = (df.select(*map(col, common)) for df in (a, b))
-    counter = _Counter(a, b)
-    for batch in _growing([(c,) for c in common]):
+    counter = _Counter(a, b, common)
+    for batch in _growing((c,) for c in common):
         counter.count(batch, skip_null=True)
         for combo in batch:
             if counter.known[combo] == counter.rows:
                 return list(combo)
     # Nulls, left out above, may add one tuple per column.
-    pairs = [
+    pairs = (
         pair
         for pair in combinations(common, 2)
         if all(prod(counter.known[(c,)][side] + 1 for c in pair) >= counter.rows[side] for side in (0, 1))
-    ]
+    )
     for batch in _growing(pairs):
         counter.count(batch)
         for pair in batch:

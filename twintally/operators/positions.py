@@ -31,8 +31,8 @@ def with_position(df: DataFrame, order_by: Sequence[str], unique: bool = False)
     if not unique:
         df = stage(df.withColumn("_tie", F.monotonically_increasing_id()), "unordered")
         order += [col(c) for c in df.columns if c not in order_by]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # Without a number, adaptive execution joins small ranges.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The ranges are sampled anew on every run, so they are written before being counted.
     placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered")
 
