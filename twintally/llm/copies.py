@@ -39,8 +39,8 @@ PERCENT = 75
 SKETCH_BITS = 20
 CHUNK = 1 << 12
 LOW = np.uint64((1 << 56) - 1)
-#: At most so many row numbers, 8 bytes each, are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: At most so many rows of one to three numbers are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Longer lists of the index are joined with the prefixes at hand.
 LONG_LIST = 32
 
@@ -151,8 +151,8 @@ def large_enough(overlap, n, m, percent: int):
 def close_groups(shared: DataFrame, placed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (g, h) of groups that are not all in one component and whose prefixes allow the similarity.
 
-    Pairs from short lists are gathered first and then compared by their prefixes. The entries of long lists carry their
-    prefixes, so that a pair of a large family is compared within the join, at the first long list it shares.
+    Pairs from short lists are counted first; those with enough are then compared by their prefixes. The entries of long
+    lists carry their prefixes, so that a pair of a large family is compared within the join, at the first such list.
     """
     spans = placed.groupBy("gid").agg(F.min("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     per_token = W.partitionBy("token")
@@ -171,12 +171,23 @@ def close_groups(shared: DataFrame, placed: DataFrame, prefixes: DataFrame, perc
     apart = (x["low"] != y["low"]) | (x["high"] != y["high"]) | (x["low"] != x["high"])
     able = (F.col("x.gid") < F.col("y.gid")) & apart & large_enough(F.least(n, m), n, m, percent)
 
+    # Pairs of short lists with the number of shingles they share there. With those they may share in long lists, and
+    # all beyond the prefix that ends first, these must be enough.
     one = F.struct("gid", "n", "low", "high")
-    twos = shared.where("n_groups = 2").select(F.col("gid").alias("g"), F.col("other").alias("h")).distinct()
-    twos = twos.join(spans.select(F.col("gid").alias("g"), one.alias("x")), "g").join(spans.select(F.col("gid").alias("h"), one.alias("y")), "h")
+    twos = shared.where("n_groups = 2").groupBy(F.col("gid").alias("g"), F.col("other").alias("h")).agg(F.count("*").alias("common"))
     short = entries.where(F.col("n_groups") <= LONG_LIST).select("token", one.alias("x"))
-    pairs = twos.where(able).select("x", "y").unionByName(short.join(short.withColumnRenamed("x", "y"), "token").where(able).select("x", "y")).distinct()
-    pairs = stage(pairs.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"), n.alias("n"), m.alias("m")), "short-list-pairs")
+    others = short.join(short.withColumnRenamed("x", "y"), "token").where(able)
+    others = others.groupBy(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).agg(F.count("*").alias("common"))
+    pairs = twos.unionByName(others).groupBy("g", "h").agg(F.sum("common").alias("common"))
+    in_long = entries.where(F.col("n_groups") > LONG_LIST).groupBy("gid").agg(F.count("*").alias("in_long"))
+    sides = spans.join(in_long, "gid", "left").select("gid", "n", "low", "high", F.coalesce("in_long", F.lit(0)).alias("in_long"))
+    sides = stage(sides, "sides")
+    for name, side in (("g", "x"), ("h", "y")):
+        pairs = pairs.join(sides.select(F.col("gid").alias(name), F.struct("gid", "n", "low", "high", "in_long").alias(side)), name)
+    beyond = [F.floor((percent * size + 99) / 100) - 1 for size in (n, m)]
+    most = F.col("common") + F.least("x.in_long", "y.in_long") + F.greatest(*beyond)
+    pairs = pairs.where(able & large_enough(most, n, m, percent)).select("g", "h", n.alias("n"), m.alias("m"))
+    pairs = stage(pairs, "short-list-pairs")
     wanted = stage(prefixes_of(pairs.select(F.explode(F.array("g", "h")).alias("gid"))), "short-list-prefixes")
     pairs = pairs.join(wanted.select(F.col("gid").alias("g"), F.struct("prefix").alias("p")), "g").join(wanted.select(F.col("gid").alias("h"), F.struct("prefix").alias("q")), "h")
     pairs = pairs.select("g", "h", F.struct("n", "p.prefix").alias("x"), F.struct(F.col("m").alias("n"), "q.prefix").alias("y"))

@@ -33,7 +33,8 @@ MIN_WORDS = 5
 NEAR_WORDS = 10
 STEP = np.uint64(0xD1342543DE82EF95)
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
-BROADCAST_ROWS = 1_000_000
+#: At most so many rows, each with the line numbers of one text, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 ROW = "__line_row"
 
 
