@@ -6,11 +6,24 @@ A staged table is plain Parquet in the shared folder the cluster names in
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Open(threading.local):
+    """For each thread, the paths staged within the blocks of ``scratch`` that are open."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session: its checkpoint folder, else its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -23,8 +36,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/twintally/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and continue from the written table.
+
+    Within a block of ``scratch`` the table goes with the block; with ``keep`` it
+    outlives it and goes with the block around it, if there is one.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    blocks = _open.blocks[: len(_open.blocks) - keep]
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end, when nothing reads them any more."""
+    paths: list[str] = []
+    _open.blocks.append(paths)
+    try:
+        yield
+    finally:
+        _open.blocks.pop()
+        jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(configuration).delete(folder, True)
