@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintally.llm.words import LINES, LOWER, LOWER_VALUES, SPACED, hash_runs, map_batches, mix, runs, slices
-from twintally.sources.staging import stage
+from twintally.sources.staging import scratch, stage
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -189,7 +189,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The keys of equal lines are equal.
     first = lines.groupBy("hash").agg(F.min(order()).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     first = stage(first, "first-lines")
-    near = stage(near_lines(lines, first, rows), "near-lines").withColumn("near", F.lit(True))
+    with scratch(docs.sparkSession):
+        near = stage(near_lines(lines, first, rows), "near-lines", keep=True).withColumn("near", F.lit(True))
     changed = first.join(near, "hash", "left").where("n > 1 OR near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.drop("keys").join(changed, "hash").where(F.col("near") | (order() != F.col("first")))
     gone = gone.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("line").alias("gone"))
