@@ -72,6 +72,16 @@ def test_stages_return_the_columns_of_documents(spark, docs, tmp_path):
         assert function(spark, table, str(tmp_path)).columns == table.columns
 
 
+def test_documents_with_unique_short_lines_stay(spark, docs, tmp_path):
+    footer = "all rights of this page are reserved"
+    rows = [(1, f"an own line of some words\n{footer}"), (2, f"roses are red\nviolets are blue\n{footer}"), (3, footer), (4, f" \t\n{footer}\n"), (5, ""), (6, None), (7, "日本語\n" + footer)]
+    docs(rows, n_chars=1).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, table, str(tmp_path)).collect()}
+    assert set(out) == {1, 2, 5, 6, 7}
+    assert out[2] == ("roses are red\nviolets are blue", 30) and out[7] == ("日本語", 3) and out[1][0] == rows[0][1]
+
+
 def test_empty_tables(spark, docs, tmp_path):
     docs([], lang="en").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], test_leaks.ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
