@@ -71,6 +71,20 @@ def test_spans_are_cut_from_texts(spark, docs):
     assert out[2]["text"] == "clean é text" and out[3]["text"] is None and out[4]["text"] == ""
 
 
+@pytest.mark.parametrize("block", [leaks.BLOCK_BYTES, 150])
+def test_what_is_cut_does_not_depend_on_blocks(spark, docs, monkeypatch, block):
+    """Items that overlap in a text, and phrases that a cut would make, lie in different blocks."""
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block)
+    w = [f"w{k}" for k in range(60)]
+    rows, items = cases(7)
+    items += [(200 + k, " ".join(w[k : k + 14])) for k in range(0, 46, 5)] + [(300, " ".join([*w[55:], "x1", "x2", "x3", "x4", "x5"]))]
+    rows += [(200, " ".join(["before", *w[:50], "after"])), (201, " ".join(w[3:31])), (202, " ".join([*w[55:], *w[20:34], "x1 x2 x3 x4 x5"]))]
+    out = {r["doc_id"]: r["text"] for r in leaks.remove_leaks(docs(rows, more=1), spark.createDataFrame(items, ITEMS)).collect()}
+    left = lambda t: [x for j, x in enumerate(WORD.findall(lower(t))) if j not in brute(t, items)[1]]
+    assert {i: WORD.findall(lower(t)) for i, t in out.items()} == {i: left(t) for i, t in rows}
+    assert "x1 x2" in out[202] and "w55" in out[202] and "w20" not in out[202]
+
+
 def test_empty_tables(spark, docs):
     items = spark.createDataFrame([], ITEMS)
     assert leaks.find_leaks(docs([]), items).collect() == []

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twintally.llm.suffix import FMIndex
 from twintally.llm.words import ALNUM, LOWER_VALUES, cut, hash_runs, map_batches, per_text, runs, slices, text_buffers
@@ -28,6 +29,7 @@ WINDOW = 10
 SHARD_BYTES = 6 << 20
 BLOCK_BYTES = 2 << 20
 ROWS_AT_ONCE = 1 << 20
+FOUND = "__leak_spans"
 
 
 @dataclass
@@ -156,11 +158,7 @@ def finder(wanted: Phrases):
                 own, at = start - np.searchsorted(doc, text), per_text(with_item, texts)
                 names = [[str(wanted.ids[i]) for i in item[at[k] : at[k + 1]]] for k in range(texts)]
                 if batch.num_columns > 2:
-                    earlier = part.column(3).to_pylist()
-                    text = np.concatenate([text, np.repeat(np.arange(texts), [len(x) for x in earlier])])
-                    own = np.concatenate([own, np.array([x["start"] for y in earlier for x in y], np.int64)])
-                    length = np.concatenate([length, np.array([x["length"] for y in earlier for x in y], np.int64)])
-                    text, own, length = merged(text, own, length)
+                    text, own, length = united(part.column(3), text, own, length)
                     names = [x + y for x, y in zip(part.column(4).to_pylist(), names)]
                 spans = pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(length, pa.int64())], fields=list(SPANS.value_type))
                 words = pa.array(np.bincount(doc, minlength=texts), pa.int64())
@@ -190,31 +188,54 @@ def merged(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return tuple(np.array([x[k] for x in out], np.int64) for k in range(3))
 
 
+def united(spans: pa.Array, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of an earlier block's spans, a list for each text, and more of them."""
+    earlier = spans.to_pylist()
+    text = np.concatenate([text, np.repeat(np.arange(len(earlier)), [len(x) for x in earlier])])
+    start = np.concatenate([start, np.array([x["start"] for y in earlier for x in y], np.int64)])
+    length = np.concatenate([length, np.array([x["length"] for y in earlier for x in y], np.int64)])
+    return merged(text, start, length)
+
+
 def remove_leaks(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with the merged spans of all phrases cut from the texts; texts without any stay as they are.
 
-    Every block of phrases is searched in the text its predecessor left.
+    Every block of phrases is searched in the whole text; the union of what all blocks find is cut once, by the last one.
     """
     at = docs.columns.index(text_col)
+    wanted = blocks(items, item_id_col, item_text_col, window)
 
-    def remover(wanted: Phrases):
+    def remover(block: Phrases, is_last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, data, offsets in slices(batch.column(at), SHARD_BYTES):
-                    part = batch.slice(a, b - a)
-                    first, end, _, (text, start, length), _ = search(data, offsets, wanted)
-                    if len(text):
-                        cuts = np.split(np.stack([first[start], end[start + length - 1]], axis=1), per_text(text, b - a)[1:-1])
-                        texts = part.column(at).to_pylist()
+                    part, texts = batch.slice(a, b - a), b - a
+                    first, end, doc, (text, start, length), _ = search(data, offsets, block)
+                    begin = per_text(doc, texts)
+                    own = start - begin[text]
+                    if batch.num_columns > width:
+                        text, own, length = united(part.column(width), text, own, length)
+                    part = part.select(range(width))
+                    if not is_last:
+                        spans = pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(length, pa.int64())], fields=list(SPANS.value_type))
+                        column = pa.ListArray.from_arrays(pa.array(per_text(text, texts), pa.int32()), spans)
+                        part = pa.RecordBatch.from_arrays([*part.columns, column], schema=part.schema.append(pa.field(FOUND, SPANS)))
+                    elif len(text):
+                        lo = begin[text] + own
+                        cuts = np.split(np.stack([first[lo], end[lo + length - 1]], axis=1), per_text(text, texts)[1:-1])
+                        left = part.column(at).to_pylist()
                         for k in np.unique(text):
-                            texts[k] = cut(data[offsets[k] : offsets[k + 1]], [tuple(x - offsets[k]) for x in cuts[k]]).decode()
-                        part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                            left[k] = cut(data[offsets[k] : offsets[k + 1]], [tuple(x - offsets[k]) for x in cuts[k]]).decode()
+                        part = part.set_column(at, part.schema.field(at), pa.array(left, part.schema.field(at).type))
                     yield part
 
         return run
 
-    for wanted in blocks(items, item_id_col, item_text_col, window):
-        docs = map_batches(docs, remover(wanted), docs.schema)
+    width, schema = len(docs.columns), docs.schema
+    found = T.StructType([*schema.fields, T.StructField(FOUND, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
+    for k, block in enumerate(wanted):
+        is_last = k == len(wanted) - 1
+        docs = map_batches(docs, remover(block, is_last), schema if is_last else found)
     return docs
