@@ -49,6 +49,22 @@ def test_copies_of_a_text_count_once(docs):
     assert all(s["kind"] == "email" for r in out for s in r["spans"])
 
 
+def test_copies_dont_hide_a_disclosing_term(docs):
+    rows = [(100 * j + k, f"Zanzibar number{j} jo@firm.org") for j in range(3) for k in range(40)] + [(1000 + k, f"other text {k}") for k in range(200)]
+    for r in disclosure.find_personal(docs(rows)).collect():
+        terms = [(s["start"], s["end"], s["remove"]) for s in r["spans"] if s["kind"] == "term"]
+        assert terms == ([(0, 8, True)] if r["doc_id"] < 1000 else [])
+
+
+def test_terms_anywhere_in_the_text_of_an_entity(docs):
+    fill = " ".join(f"plain{k}" for k in range(30))
+    rows = [(k, f"Zanzibar {fill} jo@firm.org {fill} é zanzibar") for k in range(3)]
+    rows = [(k, f"{t} {k}") for k, t in rows] + [(10 + k, f"{fill} {k}") for k in range(200)]
+    out = {r["doc_id"]: r["spans"] for r in disclosure.find_personal(docs(rows)).collect()}
+    for k, t in rows:
+        assert sorted(t[s["start"] : s["end"]] for s in out[k] if s["kind"] == "term") == (["Zanzibar", "zanzibar"] if k < 3 else [])
+
+
 def test_long_runs_take_linear_time(docs):
     text = "a" * 300_000 + " " + "1" * 300_000 + " " + "+1" + "(" * 300_000 + " " + "1." * 100_000
     assert disclosure.base_spans(text) is not None

@@ -1,12 +1,12 @@
 """Personal data in texts, and the terms that disclose it.
 
-Fixed patterns find protected entities. The words around an entity are its context; how often a term stands in contexts
-of one entity, and in how many documents of the whole corpus it occurs at all, estimates how strongly it reveals the
-entity: the share of the entity's information that the term gives, PMI(entity; term) / IC(entity) = 1 - IC(entity | term) / IC(entity).
+Fixed patterns find protected entities. All of its text is the context of an entity; how many texts with the entity have
+a term, and how many texts of the whole corpus have it at all, estimates how strongly it reveals the entity: the share of the entity's information that the term gives, PMI(entity; term) / IC(entity) = 1 - IC(entity | term) / IC(entity).
 Terms beyond ``REMOVE`` are removed, those beyond ``GENERALISE`` become a class of words.
 
-Each document counts once for an entity and a term; documents with equal texts count once. A pair needs ``SUPPORT`` such
-documents, and no entity with fewer is looked at. All counts are of the whole corpus, added up by partial aggregates.
+Each document counts once for an entity and a term; documents with equal texts count once, also for a term's and the total
+number. A pair needs ``SUPPORT`` such documents, and no entity with fewer is looked at. Every occurrence of a disclosing term
+in a document with the entity is marked. Words under ``MIN_TERM_BYTES`` are no terms. All counts are of the whole corpus, added up by partial aggregates.
 
 Defined results: null texts are empty; repeated rows get equal spans; long texts are scanned whole; other columns don't
 matter; an empty table gives no rows.
@@ -33,7 +33,6 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-CONTEXT_WORDS = 8
 MIN_TERM_BYTES = 4
 SUPPORT = 3
 GENERALISE = 0.6
@@ -80,29 +79,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
 SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-NEAR = "array<struct<entity: bigint, term: bigint, start: bigint, end: bigint>>"
-NEAR_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+WORDS = "array<struct<term: bigint, start: bigint, end: bigint>>"
+WORDS_ARROW = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def contexts(spans: list, text: str, points: np.ndarray, first: np.ndarray, end: np.ndarray, terms: np.ndarray) -> list[dict]:
-    """The terms near each entity of one text; words are given by their first and last bytes and their hashes."""
-    out = []
+def contexts(spans: list, text: str, points: np.ndarray, first: np.ndarray, end: np.ndarray, terms: np.ndarray) -> tuple[list[int], list[dict]]:
+    """The entities of one text, and all its terms; words are given by their first and last bytes and their hashes."""
     start_point, end_point = points[first], points[end]
-    inside = np.zeros(len(first), bool)
-    for _, lo, hi in spans:
-        inside |= (start_point < hi) & (lo < end_point)
-    usable = np.flatnonzero(~inside & (end - first >= MIN_TERM_BYTES))
+    # The words that overlap a span are a run of words.
+    change = np.zeros(len(first) + 1, np.int64)
+    entities = set()
     for kind, lo, hi in spans:
+        a, b = np.searchsorted(end_point, lo, "right"), np.searchsorted(start_point, hi, "left")
+        change[a] += 1
+        change[max(a, b)] -= 1
         value = re.sub(r"[^a-z0-9@.]", "", text[lo:hi].lower())
-        entity = hash_runs(np.frombuffer(f"{kind}:{value}".encode(), np.uint8), np.zeros(1, np.int64), np.array([len(kind) + 1 + len(value)]), BYTE_VALUES).view(np.int64)[0]
-        middle = np.searchsorted(start_point[usable], lo)
-        for j in usable[max(0, middle - CONTEXT_WORDS) : middle + CONTEXT_WORDS].tolist():
-            out.append({"entity": int(entity), "term": int(terms[j]), "start": int(start_point[j]), "end": int(end_point[j])})
-    return out
+        entities.add(int(hash_runs(np.frombuffer(f"{kind}:{value}".encode(), np.uint8), np.zeros(1, np.int64), np.array([len(kind) + 1 + len(value)]), BYTE_VALUES).view(np.int64)[0]))
+    usable = np.flatnonzero((np.cumsum(change)[:-1] == 0) & (end - first >= MIN_TERM_BYTES)).tolist()
+    return sorted(entities), [{"term": int(terms[j]), "start": int(start_point[j]), "end": int(end_point[j])} for j in usable]
+
+
+def hash_of(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text_hash, spans, near): protected entities and the terms around them."""
+    """(row, id, text_hash, spans, entities, words): protected entities, and all terms of the texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +115,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))[offsets]
                 ats = np.concatenate(([0], np.cumsum(data == 64)))[offsets]
-                spans, near = [], []
+                spans, entities, terms = [], [], []
                 for k in range(b - a):
                     own = slice(begin[k], begin[k + 1])
                     found, text = [], ""
@@ -124,32 +126,38 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     spans.append([dict(zip(("kind", "start", "end"), s)) for s in found])
                     if found:
                         local = points[offsets[k] : offsets[k + 1] + 1] - points[offsets[k]]
-                        near.append(contexts(found, text, local, first[own] - offsets[k], end[own] - offsets[k], words[own]))
+                        of, near = contexts(found, text, local, first[own] - offsets[k], end[own] - offsets[k], words[own])
                     else:
-                        near.append([])
+                        of, near = [], []
+                    entities.append(of)
+                    terms.append(near)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(spans, SPAN_ARROW), pa.array(near, NEAR_ARROW)],
-                    ["row", "id", "text_hash", "spans", "near"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(spans, SPAN_ARROW), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, WORDS_ARROW)],
+                    ["row", "id", "text_hash", "spans", "entities", "words"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return map_batches(rows, run, f"row bigint, id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, spans {SPAN}, near {NEAR}")
+    rows = rows.withColumn("text_hash", hash_of("text"))
+    return map_batches(rows, run, f"row bigint, id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, spans {SPAN}, entities array<bigint>, words {WORDS}")
 
 
-def term_documents(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): in how many documents each word of the corpus occurs."""
+def term_documents(docs: DataFrame, copies: DataFrame, text_col: str) -> DataFrame:
+    """(term, n): in how many different texts each word of the corpus occurs; ``copies`` has (text_hash, n_copies) of repeated ones.
+
+    Each of n equal texts counts as 1 / n of one, so that no text is moved; sums are rounded to whole numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            weight = 1 / batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in slices(batch.column(0)):
                 first, end, doc = runs(data, offsets, ALNUM)
                 long = end - first >= MIN_TERM_BYTES
                 words = hash_runs(data, first[long], end[long], LOWER_VALUES)
                 _, once = np.unique(words ^ mix(doc[long].astype(np.uint64) + np.uint64(1)), return_index=True)
-                held.append(words[once])
+                held.append((words[once], weight[a:b][doc[long][once]]))
                 size += len(once)
             if size > COUNTED_AT_ONCE:
                 yield counted(held)
@@ -157,27 +165,36 @@ def term_documents(docs: DataFrame, text_col: str) -> DataFrame:
         if size:
             yield counted(held)
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        terms, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        terms, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([x for _, x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.float64())], ["term", "n"])
 
-    parts = map_batches(docs.select(F.col(text_col).cast("string")), run, "term bigint, n bigint")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), hash_of(text_col).alias("text_hash")).join(copies, "text_hash", "left")
+    parts = map_batches(rows.select("text", F.coalesce("n_copies", F.lit(1)).cast("double").alias("n_copies")), run, "term bigint, n double")
+    return parts.groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(entity, term, share): pairs whose term gives at least ``GENERALISE`` of the entity's information."""
-    near = scanned.select("text_hash", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    pairs = near.select("text_hash", "x.entity", "x.term").distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = stage(pairs, "entity-terms")
-    entities = scanned.select("text_hash", F.explode(F.array_distinct("near.entity")).alias("entity")).distinct()
-    entities = entities.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(float(max(docs.count(), 2)))
-    terms = term_documents(docs, text_col).join(pairs.select("term").distinct(), "term", "left_semi")
+    texts = stage(scanned.groupBy("text_hash").agg(F.min("row").alias("row"), F.count("*").alias("n_copies")), "texts")
+    total = float(max(texts.count(), 2))
+    # One row of each text; the rows' numbers are written.
+    once = scanned.where(F.size("entities") > 0).join(texts.select("row"), "row", "left_semi")
+    holds = once.select("row", F.explode("entities").alias("entity"))
+    entities = stage(holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    holds = stage(holds.join(entities.select("entity"), "entity"), "entities-of-texts")
+    # A term in more texts can't give an entity away, even if it is in all texts of the most frequent one.
+    bound = most * (min(most, total / 2) / total) ** (GENERALISE - 1) + 1 if most else 0
+    terms = term_documents(docs, texts.where("n_copies > 1").select("text_hash", "n_copies"), text_col)
+    terms = stage(terms.where((F.col("n") >= SUPPORT) & (F.col("n") <= bound)), "terms")
+    words = once.join(holds.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct("words.term")).alias("term"))
+    words = words.join(terms.select("term"), "term", "left_semi")
+    pairs = holds.join(words, "row").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     joined = pairs.join(terms, "term").join(entities, "entity")
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n"))
-    share = 1 - F.log(given) / F.log(F.least(F.col("n_entity").cast("double"), total / 2) / total)
+    share = 1 - F.log(given) / F.log(F.least(F.col("n_entity").cast("double"), F.lit(total / 2)) / total)
     return joined.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
 
 
@@ -185,8 +202,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: row, id and ``spans`` (kind, start, end, remove); terms that disclose an entity have kind term."""
     scanned = stage(scan(docs, id_col, text_col), "personal")
     pairs = stage(disclosing(scanned, docs, text_col), "disclosing")
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    found = near.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    holds = scanned.select("row", F.explode("entities").alias("entity"))
+    told = holds.join(pairs, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+    told = stage(told, "disclosing-terms")
+    words = scanned.where(F.size("entities") > 0).join(told.select("row").distinct(), "row", "left_semi")
+    found = words.select("row", F.explode("words").alias("x")).select("row", "x.*").join(told, ["row", "term"])
     span = lambda kind, s, remove: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), remove.alias("remove"))
     term = span(F.lit("term"), {"start": F.col("start"), "end": F.col("end")}, F.col("share") >= REMOVE)
     found = found.groupBy("row").agg(F.collect_list(term).alias("terms"))
