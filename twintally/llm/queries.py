@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import copies, credentials, disclosure, leaks, lines, losses, packing, rules, shards, sql, urls
+from twintally.llm import alignment, copies, credentials, disclosure, leaks, lines, losses, packing, rules, shards, sql, urls
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +104,11 @@ def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op3_boosted_urls, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op7_cross_entropy_difference, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op3_boosted_urls, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op7_cross_entropy_difference, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours, op11_token_alignment)}
 #: The others draw random numbers, train models, or give ids of a tokenizer; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
     "op1_grouped_prefix_join": sql.OP1,

@@ -1,9 +1,10 @@
 """Token ids of whole texts by a byte-level BPE tokenizer file.
 
 The tokenizer splits a text by a fixed pattern and encodes every part on its own. The parts are found here with array
-operations over the code points of many texts, and the library encodes each distinct part once per worker. Texts with a
-special token's string, with code points this Python's Unicode tables don't know, or with invalid bytes go to the
-library whole. The ids are the library's own in each case.
+operations over the code points of many texts, and the library encodes each distinct part once while a worker remembers
+it; what it remembers is bounded, and whole texts are never among it. Texts with a special token's string, with code
+points this Python's Unicode tables don't know, or with invalid bytes go to the library whole. The ids are the library's
+own in each case.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import os
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -18,9 +20,10 @@ import numpy as np
 from twintally.llm.words import hash_runs
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
-#: A worker forgets its parts when it knows more than these.
-KNOWN_PARTS = 3_000_000
-RECENT_PARTS = 200_000
+#: A worker forgets its parts when it keeps more of them, or more ids, than these: 24 and 16 MB.
+KNOWN_PARTS = 1 << 20
+KNOWN_IDS = 1 << 22
+RECENT_PARTS = 100_000
 
 
 @cache
@@ -64,26 +67,17 @@ def part_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Encodes slices of texts; one for each worker and tokenizer file."""
-
-    def __init__(self, path: str, end_id: int) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class Parts:
+    """Token ids of distinct parts of texts: ``encode`` gives those of new parts, which are then remembered."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end_id = end_id
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
+        self.encode = encode
         self.forget()
 
     def forget(self) -> None:
         self.hashes, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.recent = (self.hashes, self.at, self.count)
-        self.ids, self.used = np.empty(1 << 20, np.uint32), 1
-        self.ids[0] = self.end_id
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
 
     def store(self, encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Keeps lists of ids; where each begins and its length."""
@@ -97,7 +91,9 @@ class Encoder:
         return at, count
 
     def look_up(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each part, where its ids are kept and how many they are."""
+        """For each part, where its ids are kept and how many they are; valid until the next call."""
+        if len(self.hashes) > KNOWN_PARTS or self.used > KNOWN_IDS:
+            self.forget()
         distinct, sample, back = np.unique(hash_runs(data, first, end), return_index=True, return_inverse=True)
         at, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         missing = np.ones(len(distinct), bool)
@@ -110,17 +106,44 @@ class Encoder:
         new = np.flatnonzero(missing)
         if len(new):
             own = sample[new]
-            at[new], count[new] = self.store(self.whole([data[a:b].tobytes().decode() for a, b in zip(first[own], end[own])]))
+            at[new], count[new] = self.store(self.encode([data[a:b].tobytes() for a, b in zip(first[own], end[own])]))
             self.recent = joined(self.recent, (distinct[new], at[new], count[new]))
             if len(self.recent[0]) > RECENT_PARTS:
                 self.hashes, self.at, self.count = joined((self.hashes, self.at, self.count), self.recent)
                 self.recent = tuple(x[:0] for x in self.recent)
         return at[back], count[back]
 
+
+def in_order(text: np.ndarray, at: np.ndarray, count: np.ndarray, ids: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ids one after the other by their text's number, and where each text's ids begin."""
+    order = np.argsort(text, kind="stable")
+    text, at, count = text[order], at[order], count[order]
+    end = np.cumsum(count)
+    out = ids[np.repeat(at - end + count, count) + np.arange(end[-1] if len(end) else 0)]
+    return out, np.append(0, end)[np.searchsorted(text, np.arange(texts + 1))]
+
+
+class Encoder:
+    """Encodes slices of texts; one for each worker, tokenizer file and way to end a text.
+
+    Strings of special tokens are those tokens, or with ``plain`` ordinary text. Without ``end_id`` texts have no end.
+    """
+
+    def __init__(self, path: str, end_id: int | None, plain: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = [] if end_id is None else [end_id]
+        self.parts = Parts(lambda parts: self.whole([x.decode() for x in parts]))
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other with its end, and where each text's ids begin."""
-        if len(self.hashes) > KNOWN_PARTS:
-            self.forget()
         texts = len(offsets) - 1
         raw = data.tobytes()
         odd = set()
@@ -140,23 +163,25 @@ class Encoder:
             mark[offsets] = True
             first = starts[part_starts(points, mark[starts])]
             text = np.searchsorted(offsets, first, "right") - 1
-            at, count = self.look_up(data, first, np.append(first[1:], len(data)))
+            at, count = self.parts.look_up(data, first, np.append(first[1:], len(data)))
             if odd:
                 plain = ~np.isin(text, list(odd))
                 text, at, count = text[plain], at[plain], count[plain]
         else:
             text, at, count = (np.zeros(0, np.int64),) * 3
+        ids, used = self.parts.ids, self.parts.used
+        # Ends and whole texts are put behind the known ids for this slice only.
+        more = [self.end] * (texts if self.end else 0)
+        owners = list(range(texts)) if self.end else []
         if odd:
             own = sorted(odd)
-            more = self.store(self.whole([raw[offsets[k] : offsets[k + 1]].decode(errors="replace") for k in own]))
-            text, at, count = (np.concatenate(x) for x in ((text, np.array(own)), (at, more[0]), (count, more[1])))
-        text = np.concatenate([text, np.arange(texts)])
-        at, count = np.append(at, np.zeros(texts, np.int64)), np.append(count, np.ones(texts, np.int64))
-        order = np.argsort(text, kind="stable")
-        at, count, text = at[order], count[order], text[order]
-        before = np.cumsum(count) - count
-        ids = self.ids[np.repeat(at - before, count) + np.arange(count.sum())]
-        return ids, np.append(before[np.searchsorted(text, np.arange(texts))], len(ids))
+            more = self.whole([raw[offsets[k] : offsets[k + 1]].decode(errors="replace") for k in own]) + more
+            owners = own + owners
+        if more:
+            length = np.array([len(x) for x in more], np.int64)
+            ids = np.concatenate([ids[:used], np.fromiter((i for x in more for i in x), np.uint32, int(length.sum()))])
+            text, at, count = np.concatenate([text, owners]), np.concatenate([at, used + np.cumsum(length) - length]), np.concatenate([count, length])
+        return in_order(text, at, count, ids, texts)
 
 
 def joined(known: tuple, new: tuple) -> tuple:
@@ -165,10 +190,11 @@ def joined(known: tuple, new: tuple) -> tuple:
     return tuple(x[order] for x in both)
 
 
-ENCODERS: dict[tuple[str, int], Encoder] = {}
+ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in ENCODERS:
-        ENCODERS[path, end_id] = Encoder(path, end_id)
-    return ENCODERS[path, end_id]
+def encoder(path: str, end_id: int | None, plain: bool = False) -> Encoder:
+    """This worker's encoder. It keeps ``KNOWN_PARTS`` parts and ``KNOWN_IDS`` ids, and a slice's new ones, at most."""
+    if (path, end_id, plain) not in ENCODERS:
+        ENCODERS[path, end_id, plain] = Encoder(path, end_id, plain)
+    return ENCODERS[path, end_id, plain]

@@ -7,6 +7,8 @@ Word hashes are 64 bits of a polynomial over random byte values.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -52,7 +54,24 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         known["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns what a finished task has freed to the system; a reused worker would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
