@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintally.llm import alignment, copies, credentials, disclosure, leaks, lines, losses, packing, rules, shards, sql, urls
+from twintally.llm import alignment, codes, copies, credentials, disclosure, languages, leaks, lines, losses, packing, rules, shards, sql, urls
 from twintally.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,11 +108,23 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op3_boosted_urls, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op7_cross_entropy_difference, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours, op11_token_alignment)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda: F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
+    found = languages.predict(docs, languages.learn(docs.where(fold() != 2)))
+    return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("bigint").alias("n_spans"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_grouped_prefix_join, op2_fm_index_leaks, op3_boosted_urls, op4_suffix_rules, op5_grammar_secrets, op6_disclosure, op7_cross_entropy_difference, op8_bounded_best_fit, op9_hypergeometric_shards, op10_deletion_neighbours, op11_token_alignment, op12_vector_codes, op13_language_spans)}
 #: The others draw random numbers, train models, or give ids of a tokenizer; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
     "op1_grouped_prefix_join": sql.OP1,
     "op2_fm_index_leaks": sql.OP2,
     "op4_suffix_rules": sql.op4(),
     "op10_deletion_neighbours": sql.OP10,
+    "op12_vector_codes": sql.op12(),
 }

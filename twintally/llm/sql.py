@@ -86,3 +86,29 @@ SELECT doc_id, coalesce(c.n, 0) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGIN
        CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(
             list_filter(range(len(parts)), lambda i: NOT list_contains(gone, i)), lambda i: parts[i + 1]), chr(10)) END AS text
 FROM a LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+
+def op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds are written out; a part's coordinate is a row."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS (SELECT r, p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM c JOIN b{k} USING (p, k) GROUP BY r, p, e)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, min(d) AS d, min(d * {entries} + e) % {entries} AS e FROM d{k} GROUP BY r, p)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS y FROM c JOIN a{k} USING (r, p) GROUP BY p, e, k)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.e, b{k}.k, coalesce(m{k}.y, b{k}.y) AS y FROM b{k} LEFT JOIN m{k} USING (p, e, k))")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT r, v, unnest(range(len(v))) AS i FROM kept),
+c AS MATERIALIZED (
+  SELECT r, i // (len(v) // {parts}) AS p, i % (len(v) // {parts}) AS k, CAST(floor(4096 * CAST(v[i + 1] AS DOUBLE)) AS BIGINT) AS x FROM places),
+b0 AS (SELECT p, r - 1 AS e, k, x AS y FROM c WHERE r <= {entries}),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r) CROSS JOIN books
+"""
