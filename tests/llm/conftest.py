@@ -1,3 +1,6 @@
+from contextlib import contextmanager
+from itertools import cycle
+
 import pytest
 from pyspark.sql import types as T
 
@@ -30,3 +33,23 @@ def docs(spark):
         return table.withColumns({k: F.lit(v) for k, v in more.items()}) if more else table
 
     return make
+
+
+@contextmanager
+def splits_anew(spark, module, monkeypatch):
+    """Within it, every table that ``module`` stages is written from inputs in other splits than the one before."""
+    sizes, own = cycle(["200", "3000", "700", "100000"]), module.stage
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = [spark.conf.get(n) for n in names]
+
+    def stage(*args, **named):
+        for n in names:
+            spark.conf.set(n, next(sizes))
+        return own(*args, **named)
+
+    monkeypatch.setattr(module, "stage", stage)
+    try:
+        yield
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)

@@ -92,3 +92,14 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_classes_hold_when_the_input_is_split_anew(spark, tmp_path, monkeypatch):
+    from tests.llm.conftest import splits_anew
+
+    rows = [(k, " ".join(f"w{(k % 400) * 31 + j}" for j in range(30)) + (" more" if k % 2 else "")) for k in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    with splits_anew(spark, copies, monkeypatch):
+        assert {r["doc_id"]: r["component_id"] for r in copies.classes(table, of_files=True).collect()} == {k: k % 400 for k in range(1200)}
+        assert {r["doc_id"] % 400 for r in copies.one_of_each(table, of_files=True).collect()} == set(range(400))

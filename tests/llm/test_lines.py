@@ -21,18 +21,24 @@ def within_one(x, y):
     return len(y) - len(x) == 1 and any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
 
 
+def units_of(own):
+    """What a line is compared by: its words, its characters, or nothing but the whole."""
+    text = " ".join(own)
+    return ("word", own) if len(own) >= lines.NEAR_WORDS else ("character", tuple(text)) if len(text) >= lines.NEAR_CHARACTERS else (None, own)
+
+
 def brute(rows):
     """Rows with shortened texts, by comparing every line with every earlier one."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
-    seen, out = [], {}
+    seen, out = {}, {}
     for k in order:
         kept, text = [], rows[k][1]
         for line in (text or "").split("\n"):
             own = words_of(line)
-            if len(own) >= lines.MIN_WORDS:
-                near = len(own) >= lines.NEAR_WORDS
-                gone = any(own == x or (near and len(x) >= lines.NEAR_WORDS and within_one(own, x)) for x in seen)
-                seen.append(own)
+            if own:
+                kind, units = units_of(own)
+                gone = own in seen or any(kind and kind == other and within_one(units, x) for other, x in seen.values())
+                seen.setdefault(own, (kind, units))
                 if gone:
                     continue
             kept.append(line)
@@ -56,9 +62,13 @@ def test_texts_are_those_of_brute_force(docs):
                 own = own or ["a"]
             text.append(rng.choice([" ", "  ", "\t"]).join(own))
         rows.append((k // 2 if k > 70 else k, rng.choice(["\n", "\n\n"]).join(text)))
-    rows += [r for r in ODD if r[0] != 8]
+    han = "".join(chr(0x4E00 + rng.randrange(3)) for _ in range(45))
+    for k in range(30):
+        at = rng.randrange(45)
+        rows.append((200 + k, han[:at] + rng.choice(["", "語", han[at : at + 2]]) + han[at + 1 :] + rng.choice(["\n", "\nab\n", "\n \nA b"])))
+    rows += ODD
     # One partition, so that rows with equal ids have a known order.
-    out = lines.dedup_lines(docs(rows, n_lines="old", row=1, first=2).coalesce(1)).collect()
+    out = lines.dedup_lines(docs(rows, n_lines="old", row=1, first=2, gone=3, keys="x").coalesce(1)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(brute(rows), key=str)
     assert any(r["n_dropped"] for r in out) and all(r["n_dropped"] <= r["n_lines"] and r["row"] == 1 for r in out)
 
@@ -82,3 +92,33 @@ def test_one_edit(spark):
 
 def test_empty_table(docs):
     assert lines.dedup_lines(docs([])).collect() == []
+
+
+def test_lines_of_few_words_and_without_spaces(docs):
+    han = "".join(chr(0x4E00 + k) for k in range(40))
+    rows = [(1, f"{han}\nchapter 1\nan ordinary line of some forty characters"), (2, han[:9] + "x" + han[9:]), (3, "chapter 2\nChapter  1"), (4, "an ordinary line of some fourty characters"), (5, "日本")]
+    rows += [(6, "日本"), (7, "a line of other words that is just as long")]
+    out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert out == {1: (rows[0][1], 3, 0), 2: ("", 1, 1), 3: ("chapter 2", 2, 1), 4: ("", 1, 1), 5: ("日本", 1, 0), 6: ("", 1, 1), 7: (rows[6][1], 1, 0)}
+
+
+def test_a_text_of_very_many_lines(docs):
+    from time import perf_counter
+
+    rows = [(1, "\n".join(["the very same line again"] * 100_000))]
+    lines.dedup_lines(docs([(1, "a")])).collect()
+    began = perf_counter()
+    (row,) = lines.dedup_lines(docs(rows)).collect()
+    assert row["text"] == "the very same line again" and row["n_dropped"] == 99_999
+    assert perf_counter() - began < 30
+
+
+def test_rows_keep_their_lines_when_the_input_is_split_anew(spark, tmp_path, monkeypatch):
+    """As after a lost executor: the files are read in other splits by each job."""
+    from tests.llm.conftest import splits_anew
+
+    rows = [(k, f"line number {k % 700} of this text\nits own line {k}") for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    with splits_anew(spark, lines, monkeypatch):
+        out = lines.dedup_lines(spark.read.parquet(str(tmp_path / "t")), of_files=True).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {k: t if k < 700 else t.split("\n")[1] for k, t in rows}

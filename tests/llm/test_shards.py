@@ -44,7 +44,7 @@ def test_large_counts(spark):
 def test_shuffle_is_uniform_over_pairs(spark, docs):
     """Rows that stand together in the input fall into the same shard about once in so many shards."""
     table = docs([(k, "x") for k in range(4000)]).coalesce(3)
-    out = {r["doc_id"]: r["shard"] for r in shards.shard(table, 4, stable=True).collect()}
+    out = {r["doc_id"]: r["shard"] for r in shards.shard(table, 4).collect()}
     together = sum(out[k] == out[k + 1] for k in range(3999))
     assert 900 < together < 1100
 
@@ -52,3 +52,15 @@ def test_shuffle_is_uniform_over_pairs(spark, docs):
 def test_plan_has_no_python(spark, docs):
     plan = shards.shard(docs([(1, "a"), (2, "b")]), 3)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_no_row_is_lost_when_the_input_is_split_anew(spark, tmp_path, monkeypatch):
+    from tests.llm.conftest import splits_anew
+
+    spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(7).write.parquet(str(tmp_path / "t"))
+    with splits_anew(spark, shards, monkeypatch):
+        out = shards.shard(spark.read.parquet(str(tmp_path / "t")), 24, of_files=True).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(20_000))
+    for k in range(24):
+        own = sorted(r["slot"] for r in out if r["shard"] == k)
+        assert own == list(range(len(own))) and len(own) in (833, 834)

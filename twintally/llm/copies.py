@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from twintally.llm.components import components
+from twintally.llm.frames import numbered
 from twintally.llm.shingles import shingle_sets
 from twintally.llm.words import map_batches, mix, slices
 from twintally.sources.staging import scratch, stage
@@ -202,14 +203,14 @@ def close_groups(shared: DataFrame, placed: DataFrame, prefixes: DataFrame, perc
     return pairs.unionByName(more.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))).distinct()
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", of_files: bool = False, row_col: str | None = None) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the least id of its class), and ``row`` and ``node``.
 
     ``node`` names the class by one of its rows, ``row`` the row itself: exactly one row of each class has them equal.
-    ``stable``: reading ``docs`` again gives the same rows in the same partitions; otherwise they are written once.
+    ``of_files``: see ``numbered``. ``row_col``: a column of such numbers that ``docs`` has already.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = (rows if stable else stage(rows, "rows")).withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = (rows if row_col else numbered(rows, "row", of_files)).select("row", "id", "text")
     with scratch(docs.sparkSession):
         levels = frequency_levels(rows.select("text"))
         described = stage(describe(rows, levels, percent), "described", keep=True)
@@ -256,10 +257,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "row", F.col("class").alias("node"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, read from files, without all but one of each class: its first row stays."""
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", of_files: bool = False) -> DataFrame:
+    """``docs`` without all but one row of each class: its first row stays. ``of_files``: see ``numbered``."""
     name = "__copy_row"
+    rows = numbered(docs, name, of_files)
     with scratch(docs.sparkSession):
-        gone = classes(docs, percent, id_col, text_col, stable=True).where("row <> node").select(F.col("row").alias(name))
+        gone = classes(rows, percent, id_col, text_col, row_col=name).where("row <> node").select(F.col("row").alias(name))
         gone = stage(gone, "copies", keep=True)
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(small(gone), name, "left_anti").select(*docs.columns)
+    return rows.join(small(gone), name, "left_anti").select(*docs.columns)

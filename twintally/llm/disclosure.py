@@ -1,12 +1,17 @@
 """Personal data in texts, and the terms that disclose it.
 
 Fixed patterns find protected entities. All of its text is the context of an entity; how many texts with the entity have
-a term, and how many texts of the whole corpus have it at all, estimates how strongly it reveals the entity: the share of the entity's information that the term gives, PMI(entity; term) / IC(entity) = 1 - IC(entity | term) / IC(entity).
+a term, and how many texts of the whole corpus have it at all, estimates how strongly it reveals the entity: the share of
+the entity's information that the term gives, PMI(entity; term) / IC(entity) = 1 - IC(entity | term) / IC(entity).
 Terms beyond ``REMOVE`` are removed, those beyond ``GENERALISE`` become a class of words.
 
 Each document counts once for an entity and a term; documents with equal texts count once, also for a term's and the total
 number. A pair needs ``SUPPORT`` such documents, and no entity with fewer is looked at. Every occurrence of a disclosing term
-in a document with the entity is marked. Words under ``MIN_TERM_BYTES`` are no terms. All counts are of the whole corpus, added up by partial aggregates.
+in a document with the entity is marked. All counts are of the whole corpus, added up by partial aggregates.
+
+Entities that occur in exactly the same texts are one group, and so are terms that occur in the same ones of the texts with
+entities; texts are joined by groups, so a page of many entities and terms gives few pairs. A pair of groups is only
+formed if the entities' and terms' numbers allow the threshold.
 
 Defined results: null texts are empty; repeated rows get equal spans; long texts are scanned whole; other columns don't
 matter; an empty table gives no rows.
@@ -22,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twintally.llm.frames import numbered
 from twintally.llm.words import ALNUM, BYTE_VALUES, LOWER_VALUES, hash_runs, map_batches, mix, per_text, runs, slices
-from twintally.sources.staging import stage
+from twintally.sources.staging import scratch, stage
 
 # Kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -33,11 +39,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MIN_TERM_BYTES = 4
 SUPPORT = 3
 GENERALISE = 0.6
 REMOVE = 0.85
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
+#: At most so many repeated texts (two numbers each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -95,15 +102,19 @@ def contexts(spans: list, text: str, points: np.ndarray, first: np.ndarray, end:
         change[max(a, b)] -= 1
         value = re.sub(r"[^a-z0-9@.]", "", text[lo:hi].lower())
         entities.add(int(hash_runs(np.frombuffer(f"{kind}:{value}".encode(), np.uint8), np.zeros(1, np.int64), np.array([len(kind) + 1 + len(value)]), BYTE_VALUES).view(np.int64)[0]))
-    usable = np.flatnonzero((np.cumsum(change)[:-1] == 0) & (end - first >= MIN_TERM_BYTES)).tolist()
+    usable = np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()
     return sorted(entities), [{"term": int(terms[j]), "start": int(start_point[j]), "end": int(end_point[j])} for j in usable]
 
 
-def hash_of(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def numbered_texts(docs: DataFrame, id_col: str, text_col: str, of_files: bool, row_col: str | None) -> DataFrame:
+    """(row, id, text, text_hash), the same at every reading."""
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else [])]
+    rows = docs.select(*columns)
+    rows = rows if row_col else numbered(rows, "row", of_files)
+    return rows.select("row", "id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def scan(rows: DataFrame) -> DataFrame:
     """(row, id, text_hash, spans, entities, words): protected entities, and all terms of the texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,28 +147,24 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ["row", "id", "text_hash", "spans", "entities", "words"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("text_hash", hash_of("text"))
     return map_batches(rows, run, f"row bigint, id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, spans {SPAN}, entities array<bigint>, words {WORDS}")
 
 
-def term_documents(docs: DataFrame, copies: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): in how many different texts each word of the corpus occurs; ``copies`` has (text_hash, n_copies) of repeated ones.
+def term_documents(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n): in how many different texts each word of the corpus occurs.
 
-    Each of n equal texts counts as 1 / n of one, so that no text is moved; sums are rounded to whole numbers.
+    ``copies`` has (text_hash, first) of the repeated texts; of these, only the row ``first`` counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            weight = 1 / batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0)):
                 first, end, doc = runs(data, offsets, ALNUM)
-                long = end - first >= MIN_TERM_BYTES
-                words = hash_runs(data, first[long], end[long], LOWER_VALUES)
-                _, once = np.unique(words ^ mix(doc[long].astype(np.uint64) + np.uint64(1)), return_index=True)
-                held.append((words[once], weight[a:b][doc[long][once]]))
+                words = hash_runs(data, first, end, LOWER_VALUES)
+                _, once = np.unique(words ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)
+                held.append(words[once])
                 size += len(once)
             if size > COUNTED_AT_ONCE:
                 yield counted(held)
@@ -165,46 +172,65 @@ def term_documents(docs: DataFrame, copies: DataFrame, text_col: str) -> DataFra
         if size:
             yield counted(held)
 
-    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        terms, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([x for _, x in held]))
-        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.float64())], ["term", "n"])
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        terms, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
+
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    once = rows.join(copies, "text_hash", "left").where("first IS NULL OR row = first")
+    return map_batches(once.select("text"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), hash_of(text_col).alias("text_hash")).join(copies, "text_hash", "left")
-    parts = map_batches(rows.select("text", F.coalesce("n_copies", F.lit(1)).cast("double").alias("n_copies")), run, "term bigint, n double")
-    return parts.groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
+def same_rows(table: DataFrame, name: str, group: str) -> DataFrame:
+    """(name, group): equal groups stand in exactly the same rows of ``table`` (row, name), by 128 bits of hashes."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"x{k}") for k in (1, 2)]
+    return table.groupBy(name).agg(F.count("*").alias("n"), *sums).select(name, "n", F.xxhash64("n", "x1", "x2").alias(group))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, share): pairs whose term gives at least ``GENERALISE`` of the entity's information."""
-    texts = stage(scanned.groupBy("text_hash").agg(F.min("row").alias("row"), F.count("*").alias("n_copies")), "texts")
+def disclosing(scanned: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, group) and (group, term, share): terms that give at least ``GENERALISE`` of the information of a group's entities."""
+    texts = stage(scanned.groupBy("text_hash").agg(F.min("row").alias("first"), F.count("*").alias("n_copies")), "texts")
     total = float(max(texts.count(), 2))
-    # One row of each text; the rows' numbers are written.
-    once = scanned.where(F.size("entities") > 0).join(texts.select("row"), "row", "left_semi")
-    holds = once.select("row", F.explode("entities").alias("entity"))
-    entities = stage(holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
-    most = entities.agg(F.max("n_entity")).first()[0] or 0
-    holds = stage(holds.join(entities.select("entity"), "entity"), "entities-of-texts")
-    # A term in more texts can't give an entity away, even if it is in all texts of the most frequent one.
-    bound = most * (min(most, total / 2) / total) ** (GENERALISE - 1) + 1 if most else 0
-    terms = term_documents(docs, texts.where("n_copies > 1").select("text_hash", "n_copies"), text_col)
-    terms = stage(terms.where((F.col("n") >= SUPPORT) & (F.col("n") <= bound)), "terms")
+    # One row of each text; the rows' numbers are the same at every reading.
+    once = scanned.where(F.size("entities") > 0).join(texts.select(F.col("first").alias("row")), "row", "left_semi")
+    holds = stage(once.select("row", F.explode("entities").alias("entity")), "entities-of-texts")
+    entities = stage(same_rows(holds, "entity", "group").where(F.col("n") >= SUPPORT), "entities", keep=True)
+    most = entities.agg(F.max("n")).first()[0] or 0
+    holds = stage(holds.join(entities, "entity").select("row", "group", F.col("n").alias("n_entity")).distinct(), "groups-of-texts")
+
+    def bound(n: Column) -> Column:
+        """A term in more texts than this can't give an entity of n texts away, even if it is in all of them."""
+        return n * F.pow(F.least(n, F.lit(total / 2)) / total, F.lit(GENERALISE - 1)) + 1
+
+    terms = term_documents(rows, stage(texts.where("n_copies > 1").select("text_hash", "first"), "copies"))
+    terms = stage(terms.where((F.col("n") >= SUPPORT) & (F.col("n") <= bound(F.lit(float(most))))) if most else terms.limit(0), "terms")
     words = once.join(holds.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct("words.term")).alias("term"))
-    words = words.join(terms.select("term"), "term", "left_semi")
-    pairs = holds.join(words, "row").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    joined = pairs.join(terms, "term").join(entities, "entity")
+    words = stage(words.join(terms, "term"), "terms-of-texts")
+    kinds = same_rows(words.select("row", "term"), "term", "kind").where(F.col("n") >= SUPPORT)
+    kinds = stage(kinds.select("term", "kind").join(terms, "term"), "kinds-of-terms")
+    # Of a kind's terms, the rarest has the best chance.
+    places = words.select("row", "term").join(kinds, "term").groupBy("row", "kind").agg(F.min("n").alias("least"))
+    met = holds.join(places, "row").where(F.col("least") <= bound(F.col("n_entity").cast("double")))
+    met = met.groupBy("group", "kind", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n"))
     share = 1 - F.log(given) / F.log(F.least(F.col("n_entity").cast("double"), F.lit(total / 2)) / total)
-    return joined.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    told = met.join(kinds, "kind").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return entities.select("entity", "group"), told.select("group", "term", "share")
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: row, id and ``spans`` (kind, start, end, remove); terms that disclose an entity have kind term."""
-    scanned = stage(scan(docs, id_col, text_col), "personal")
-    pairs = stage(disclosing(scanned, docs, text_col), "disclosing")
-    holds = scanned.select("row", F.explode("entities").alias("entity"))
-    told = holds.join(pairs, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
-    told = stage(told, "disclosing-terms")
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_files: bool = False, row_col: str | None = None) -> DataFrame:
+    """One row per document: row, id and ``spans`` (kind, start, end, remove); terms that disclose an entity have kind term.
+
+    ``of_files``: see ``numbered``. ``row_col``: a column of such numbers that ``docs`` has already.
+    """
+    rows = numbered_texts(docs, id_col, text_col, of_files, row_col)
+    scanned = stage(scan(rows), "personal", keep=True)
+    with scratch(docs.sparkSession):
+        entities, pairs = disclosing(scanned, rows)
+        pairs = stage(pairs, "disclosing")
+        holds = scanned.select("row", F.explode("entities").alias("entity")).join(entities, "entity").select("row", "group").distinct()
+        told = holds.join(pairs, "group").groupBy("row", "term").agg(F.max("share").alias("share"))
+        told = stage(told, "disclosing-terms", keep=True)
     words = scanned.where(F.size("entities") > 0).join(told.select("row").distinct(), "row", "left_semi")
     found = words.select("row", F.explode("words").alias("x")).select("row", "x.*").join(told, ["row", "term"])
     span = lambda kind, s, remove: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), remove.alias("remove"))
@@ -239,8 +265,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with sanitised texts; the rows are written once, so that spans and texts belong together."""
-    docs = stage(docs, "rows")
     name = "__personal_row"
-    spans = find_personal(docs, id_col, text_col).select(F.col("row").alias(name), F.col("spans").alias("__spans"))
-    out = docs.withColumn(name, F.monotonically_increasing_id()).join(spans, name)
+    rows = numbered(docs, name)
+    spans = find_personal(rows, id_col, text_col, row_col=name).select(F.col("row").alias(name), F.col("spans").alias("__spans"))
+    out = rows.join(spans, name)
     return out.withColumn(text_col, sanitised(F.col(text_col), F.col("__spans"))).select(*docs.columns)

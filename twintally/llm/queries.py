@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.classes(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_shingles", "component_id")
+    return copies.classes(table(spark, sf_dir, "documents"), of_files=True).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_fm_index_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op5_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = disclosure.find_personal(table(spark, sf_dir, "documents"))
+    found = disclosure.find_personal(table(spark, sf_dir, "documents"), of_files=True)
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return found.select(
         "doc_id",
@@ -96,12 +96,12 @@ def op8_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    out = shards.shard(docs, 24, stable=True)
+    out = shards.shard(docs, 24, of_files=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), of_files=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

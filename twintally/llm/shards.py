@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from twintally.llm.frames import numbered
 from twintally.sources.staging import stage
 
 BUCKET_ROWS = 100_000
+PARTITION_BITS = 17
 ROW = "__shard_row"
 SPREAD_LEVEL = 6
 
@@ -104,17 +106,15 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), *columns), F.lit(1 << 40))
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 20, text_col: str = "text", stable: bool = False) -> DataFrame:
+def shard(docs: DataFrame, shards: int, seed: int = 20, text_col: str = "text", of_files: bool = False) -> DataFrame:
     """``docs`` with ``size`` (bytes of the text plus 8), ``shard`` and ``slot``, its place there.
 
-    ``stable``: a second reading of ``docs`` gives the same rows in the same partitions, as with files read without a
-    shuffle; otherwise the rows are written once.
+    ``of_files``: see ``numbered``. A partition is a run of 2 ** ``PARTITION_BITS`` row numbers, however the input is split.
     """
     docs = docs.drop("shard", "slot", "size")
-    docs = docs if stable else stage(docs, "shard-rows")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint") + 8
-    rows = docs.withColumns({"size": size, ROW: F.monotonically_increasing_id()})
-    numbers = rows.select(F.col(ROW).alias("row"), F.shiftright(ROW, 33).alias("part"))
+    rows = numbered(docs, ROW, of_files).withColumn("size", size)
+    numbers = rows.select(F.col(ROW).alias("row"), F.shiftright(ROW, PARTITION_BITS).alias("part"))
     counts = stage(numbers.groupBy("part").agg(F.count("*").alias("n")), "shard-counts")
     total, partitions = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not total:

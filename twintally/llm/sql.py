@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from twintally.llm.lines import NEAR_CHARACTERS, NEAR_WORDS
 from twintally.llm.rules import Limits
 
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -71,11 +72,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 OP10 = f"""WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 b AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS k FROM a),
 l AS (SELECT doc_id, k, {words(lower('line'), SPACED)} AS ws FROM b),
-o AS (SELECT doc_id, k, ws, array_to_string(ws, ' ') AS whole, doc_id * 1000000 + k AS place FROM l WHERE len(ws) >= 5),
+o AS (SELECT doc_id, k, ws, array_to_string(ws, ' ') AS whole, CAST(doc_id AS HUGEINT) * 1099511627776 + k AS place FROM l WHERE len(ws) >= 1),
 f AS (SELECT whole, min(place) AS at_first, any_value(ws) AS ws FROM o GROUP BY 1),
-g AS (SELECT *, md5(whole) AS h FROM f WHERE len(ws) >= 10),
-v AS (SELECT whole, at_first, i, md5(array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ')) AS h
-      FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM g)),
+g AS (SELECT whole, at_first, units, kind, md5(kind || array_to_string(units, chr(1))) AS h FROM (
+      SELECT whole, at_first, 'w' AS kind, ws AS units FROM f WHERE len(ws) >= {NEAR_WORDS}
+      UNION ALL
+      SELECT whole, at_first, 'c', list_transform(range(1, length(whole) + 1), lambda i: substring(whole, i, 1)) FROM f
+      WHERE len(ws) < {NEAR_WORDS} AND length(whole) >= {NEAR_CHARACTERS})),
+v AS (SELECT whole, at_first, i, md5(kind || array_to_string(list_concat(units[:i - 1], units[i + 1:]), chr(1))) AS h
+      FROM (SELECT *, unnest(range(1, len(units) + 1)) AS i FROM g)),
 e AS (SELECT x.whole FROM v x JOIN v y ON x.h = y.h AND x.i = y.i AND y.at_first < x.at_first
       UNION SELECT x.whole FROM v x JOIN g y ON x.h = y.h AND y.at_first < x.at_first
       UNION SELECT y.whole FROM v x JOIN g y ON x.h = y.h AND x.at_first < y.at_first),
