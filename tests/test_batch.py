@@ -19,14 +19,15 @@ def deliveries(write, tmp_path):
 
 
 def test_run(spark, deliveries, monkeypatch):
-    read = batch.read_delimited
+    read = batch.read_deliveries
 
-    def failing(spark, path, **options):
-        if "new/BROKEN" in path:
+    def failing(spark, paths, **options):
+        if any("new/BROKEN" in path for path in paths):
             raise OSError("unreadable")
-        return read(spark, path, **options)
+        return read(spark, paths, **options)
 
-    monkeypatch.setattr(batch, "read_delimited", failing)
+    monkeypatch.setattr(batch, "read_deliveries", failing)
+    monkeypatch.setattr(batch, "read_delimited", lambda spark, path, **options: failing(spark, [path], **options)[0])
     seen = []
     old, new, out = deliveries
     records = run(spark, old, new, out, on_progress=lambda label, done, total: seen.append((label, total)))
@@ -75,3 +76,25 @@ def test_run_families(spark, write, tmp_path):
         ("A.T2", "A.T2.csv", "— MANCANTE —", 1, 0, 0, "DIFFERENZE"),
         ("A.T3", "— MANCANTE —", "A.T3.csv", 0, 0, 0, "OK"),
     ]
+
+
+def test_labels_of_any_characters_and_a_second_run(spark, tmp_path):
+    from twintally import write_reports
+
+    out = str(tmp_path / "reports")
+    table = lambda n: spark.createDataFrame([(k,) for k in range(n)], "v int")
+    labels = ["A%20B=1", "a b/c", "ü:*?", "{x}"]
+    for n, label in enumerate(labels, 1):
+        write_reports({"r": table(n)}, out, label)
+    write_reports({"r": table(7)}, out, labels[1])
+    found = {r["label"]: r["count"] for r in spark.read.parquet(f"{out}/r").groupBy("label").count().collect()}
+    assert found == {labels[0]: 1, labels[1]: 7, labels[2]: 3, labels[3]: 4}
+
+
+def test_reports_without_rows_leave_no_partition_behind(spark, tmp_path):
+    from twintally import write_reports
+
+    out, rows = str(tmp_path / "reports"), spark.createDataFrame([(1,)], "v int")
+    write_reports({"r": rows}, out, "x")
+    write_reports({"r": rows.limit(0)}, out, "x")
+    assert spark.read.parquet(f"{out}/r").where("label = 'x'").count() == 0

@@ -1,11 +1,29 @@
+import random
+import re
 import zipfile
+from contextlib import contextmanager
 
 import pytest
 
-from twintally import find_families, list_deliveries, list_sources, match_files, read_delimited
+from twintally import find_families, list_deliveries, list_sources, match_files, read_deliveries, read_delimited
 from twintally.operators.pairing import match_logical
 
 
+def clean_text(value):
+    return re.sub("[ \t]+", " ", value.strip()).strip()
+
+
+@contextmanager
+def many_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def content(delivery):
     rows = [tuple(r) for r in delivery.ordered.orderBy("_file", "_block", "_at").select(*[f"`{c}`" for c in delivery.columns]).collect()]
     return delivery.columns, rows, [tuple(r) for r in delivery.rejected.orderBy("line_no").collect()]
@@ -30,9 +48,13 @@ def content(delivery):
         ("A;B\r\n1;è\r\n", {}, ["A", "B"], [("1", "è")], []),
         ("a b;c;\n1; 2  x ;\n", {"legacy": True}, ["a b", "c"], [("1", "2  x")], []),
         ("1;2\n", {"legacy": True}, ["0", "1"], [("1", "2")], []),
-        ('K_1;V\n1;"x\ny"\n2;"say ""hi"""\n3;z;long\n4\n', {"multi_line": True}, ["K_1", "V"],
-         [("1", "x\ny"), ("2", 'say "hi"'), ("4", "")], [(None, "3;z;long")]),
-        ('K_1;V\n1;"è\n€"\n'.encode("cp1252"), {"multi_line": True}, ["K_1", "V"], [("1", "è\n€")], []),
+        ('K_1;V\n1;"x\ny"\n2;"say ""hi"""\n3;z;long\n4\n', {}, ["K_1", "V"],
+         [("1", "x\ny"), ("2", 'say "hi"'), ("4", "")], [(5, "3;z;long")]),
+        ('K_1;V\n1;"è\n€"\n'.encode("cp1252"), {}, ["K_1", "V"], [("1", "è\n€")], []),
+        ('K_1;V\n1;"x\ny"\n', {"multi_line": False}, ["K_1", "V"], [("1", '"x'), ('y"', "")], []),
+        ('"K_1";"a\nb"\n1;2\n', {}, ["K_1", "a\nb"], [("1", "2")], []),
+        ('K_1;V\n1;"x;\n""y"";\n\nz";\n2;5" pipe\n"3 "" ";"a"\n', {}, ["K_1", "V"], [("1", 'x;\n"y";\n\nz'), ("2", '5" pipe'), ('3 "', "a")], []),
+        ('K_1;V\n1;"never\n2;closed\n3;x\n', {}, ["K_1", "V"], [("1", '"never'), ("2", "closed"), ("3", "x")], []),
     ],
 )
 def test_read(spark, write, raw, options, columns, rows, rejected):
@@ -123,3 +145,120 @@ def test_rejected_lines_are_whole(spark, write):
     long = "a;b;" + "c" * 5000
     found = read_delimited(spark, write("l.csv", f"A_1;B\n1;2\n{long}\n"))
     assert [r["line"] for r in found.rejected.collect()] == [long]
+
+
+def test_quoted_line_breaks_over_many_splits(spark, write):
+    rng = random.Random(1)
+    rows = []
+    for k in range(800):
+        text = "".join(rng.choice(["a", ";", '""', "\n", "\n\n", " b", "5"]) for _ in range(rng.randrange(12)))
+        rows.append((str(k), text))
+    raw = "K_1;V\n" + "".join(f'{k};"{t}"\n' if rng.random() < 0.9 or set(t) & set('\n";') else f"{k};{t}\n" for k, t in rows)
+    path = write("q.csv", raw)
+    # Characters of the separator go from the left of values.
+    expected = [(k, clean_text(t.replace('""', '"').lstrip(" ").lstrip(";"))) for k, t in rows]
+    with many_splits(spark, "1500"):
+        found = read_delimited(spark, path)
+        assert found.ordered.select("_block").distinct().count() > 5 and found.rejected.count() == 0
+        assert content(found)[1] == expected
+        assert found.n_rows == 800 and found.n_rejected == 0
+
+
+def test_a_record_over_several_blocks_and_a_quote_that_stays_open(spark, write):
+    long = "\n".join(f"line {k} of a value" for k in range(200))
+    raw = f'K_1;V\n1;"{long}"\n2;x\n3;y;z\n4;"open\n5;b\n' + "6;c\n" * 50
+    with many_splits(spark, "256"):
+        found = read_delimited(spark, write("o.csv", raw))
+        columns, rows, rejected = content(found)
+    assert rows[:4] == [("1", long), ("2", "x"), ("4", '"open'), ("5", "b")] and rows[4:] == [("6", "c")] * 50
+    assert rejected == [(203, "3;y;z")]
+
+
+def test_quoted_line_breaks_inside_an_archive(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as archive:
+        archive.writestr("q.csv", 'K_1;V\n1;"two\nlines"\n2;x;y\n')
+    found = read_delimited(spark, str(tmp_path / "z.zip") + "::q.csv")
+    assert content(found) == (["K_1", "V"], [("1", "two\nlines")], [(4, "2;x;y")])
+
+
+@pytest.mark.parametrize(
+    "line, outside, inside",
+    [("a;b", False, True), ('a;"b', True, False), ('"a";"b"', False, False), ('a";b', False, False), ('x";"y', True, True), ('"', True, False), ('""', False, True),
+     ('5" a;"b', True, True), ('"a;"', False, True), ('a; "b""', True, False), ('"a"b;"c', True, True), ("", False, True), ('a;"b"";c', True, False)],
+)
+def test_states_of_a_line(spark, line, outside, inside):
+    from pyspark.sql import functions as F
+
+    from twintally.operators.quoted import opens, stays_inside
+
+    df = spark.createDataFrame([(line, ";")], "v string, s string")
+    found = df.select(opens(F.col("v"), F.col("s")), stays_inside(F.col("v"), F.col("s")), opens(F.col("v"), ";")).first()
+    assert tuple(found) == (outside, inside, outside) == (*automaton(line), outside)
+
+
+def automaton(line):
+    """The states behind a line, character by character, for both states before it."""
+    out = []
+    for state in ("start", "in"):
+        for c in line:
+            if state == "in":
+                state = "maybe" if c == '"' else "in"
+            elif state == "maybe":
+                state = "in" if c == '"' else "start" if c == ";" else "plain"
+            elif c == ";":
+                state = "start"
+            elif state == "start" and c == '"':
+                state = "in"
+            elif not (state == "start" and c == " "):
+                state = "plain"
+        out.append(state == "in")
+    return tuple(out)
+
+
+def test_conditions_on_entries_choose_partitions(spark, tmp_path):
+    from twintally.sources.archive import register
+
+    register(spark)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as archive:
+        for k in range(6):
+            archive.writestr(f"in/e{k}.csv", f"{k}\n\n")
+        archive.writestr("empty.txt", "")
+    lines = spark.read.format("zip_lines").load(str(tmp_path / "z.zip"))
+    assert lines.rdd.getNumPartitions() == 7 and lines.count() == 12
+    some = lines.where("entry in ('in/e1.csv', 'in/e4.csv')")
+    assert some.rdd.getNumPartitions() == 2 and sorted((r["entry"], r["at"], bytes(r["value"])) for r in some.collect()) == [("in/e1.csv", 0, b"1"), ("in/e1.csv", 1, b""), ("in/e4.csv", 0, b"4"), ("in/e4.csv", 1, b"")]
+    assert lines.where("entry LIKE 'in/%'").rdd.getNumPartitions() == 6
+    entries = spark.read.format("zip_entries").load(str(tmp_path / "z.zip"))
+    assert entries.where("entry LIKE '%.txt'").collect()[0]["size"] == 0
+
+
+def test_many_files_take_as_many_jobs_as_one(spark, write):
+    paths = [write(f"many/f{k}.csv", f"A_{k}{s}B\n" + "".join(f"{j}{s}é{k}\n" for j in range(k)) + (f"x{s}y{s}z\n" if k % 3 == 0 else "")) for k, s in ((k, ";|,\t"[k % 4]) for k in range(50))]
+    paths[7] = write("many/f7.csv", "A_7\tB\n1\t£\n".encode("cp1252"))
+    paths[8] = write("many/f8.csv", "")
+
+    def jobs(own):
+        group = f"jobs-{len(own)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return read_deliveries(spark, own), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    _, few = jobs(paths[1:3])
+    found, many = jobs(paths)
+    assert many <= few + 4  # adaptive plans may add one here and there
+    for k, d in enumerate(found):
+        if k not in (7, 8):
+            assert (d.sep, d.columns, d.n_rows, d.n_rejected) == (";|,\t"[k % 4], [f"A_{k}", "B"], k, int(k % 3 == 0 and k > 0) if k else 0) or k < 4
+    assert found[7].encoding == "cp1252" and found[7].rows.collect()[0]["B"] == "£" and found[8].columns == [] and found[8].n_rows == 0
+    assert sorted(tuple(r) for r in found[21].rows.collect()) == sorted((str(j), "é21") for j in range(21))
+
+
+def test_a_row_filter_is_applied_before_rows_are_written(spark, write):
+    path = write("f.csv", "K_1;V\n" + "".join(f"{k}; {'keep' if k % 10 == 0 else 'drop'}\n" for k in range(100)) + "1;keep;z\n")
+    found = read_deliveries(spark, [path], row_filter={"v": "keep ", "absent": "x"})[0]
+    assert found.n_rows == 10 and found.n_rejected == 1 and found.unfiltered == ("absent",) and found.n_spaced == 100
+    assert {r["K_1"] for r in found.rows.collect()} == {str(k) for k in range(0, 100, 10)}
+    written = spark.read.parquet(found.ordered.inputFiles()[0].rsplit("/delivery=", 1)[0])
+    assert written.where("_c0 IS NOT NULL").count() == 10

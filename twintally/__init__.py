@@ -7,7 +7,7 @@ from twintally.operators.pairing import find_families, match_files, match_logica
 from twintally.operators.structure import column_structure, infer_types
 from twintally.plans.batch import run, run_families
 from twintally.plans.report import issue_log, pair_reports, pair_summary, write_reports
-from twintally.sources.delimited import Delivery, read_delimited
+from twintally.sources.delimited import Delivery, read_deliveries, read_delimited
 from twintally.sources.listing import list_deliveries, list_sources
 
 __all__ = [
@@ -31,6 +31,7 @@ __all__ = [
     "pair_summary",
     "parse_key",
     "parse_row_filter",
+    "read_deliveries",
     "read_delimited",
     "run",
     "run_families",

@@ -128,7 +128,7 @@ def detect_separators(
 # -- fields ----------------------------------------------------------------
 
 
-def _quoted(sep: str | Column) -> Column:
+def quoted_separator(sep: str | Column) -> Column:
     """The separator as a regular expression."""
     if isinstance(sep, str):
         return F.lit(re.sub(r"([^A-Za-z0-9_\s£])", r"\\\1", sep))
@@ -140,7 +140,7 @@ def fields(line: Column, sep: str | Column, quote: str | None = '"') -> Column:
 
     Lines without a quote, the common case, take a plain split.
     """
-    regex = _quoted(sep)
+    regex = quoted_separator(sep)
     plain = F.split(line, regex, -1)
     if not quote:
         return plain
@@ -166,7 +166,7 @@ def fields(line: Column, sep: str | Column, quote: str | None = '"') -> Column:
 
 def is_header(line: Column, sep: str | Column, legacy: bool = False) -> Column:
     """Whether a line holds column names rather than data."""
-    parts = F.split(line, _quoted(sep), -1)
+    parts = F.split(line, quoted_separator(sep), -1)
     if legacy:
         named = F.filter(F.transform(parts, F.trim), lambda v: v != "")
         like = F.size(F.filter(named, lambda v: v.rlike(LEGACY_COLUMN_NAME)))
@@ -243,7 +243,7 @@ def bad_lines(lines: DataFrame, separators: DataFrame, widths: DataFrame, quote:
 def spaced_fields(line: Column, sep: str | Column) -> Column:
     """Number of fields with whitespace at an edge or a no-break space."""
     bare = F.transform(
-        F.split(line, _quoted(sep), -1), lambda v: F.btrim(F.btrim(v, F.lit('"')), F.lit("'"))
+        F.split(line, quoted_separator(sep), -1), lambda v: F.btrim(F.btrim(v, F.lit('"')), F.lit("'"))
     )
     spaced = F.size(F.filter(bare, lambda v: (v != strip(v)) | F.contains(v, F.lit(NBSP))))
     # A plain ASCII line without any whitespace needs no look at its fields.

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twintally.operators.compare import Comparison, compare
-from twintally.operators.filters import filter_rows
 from twintally.operators.keys import detect_key, detect_key_strict
 from twintally.operators.pairing import find_families, match_files, match_logical
 from twintally.plans.report import (
@@ -27,7 +26,7 @@ from twintally.plans.report import (
     pair_reports,
     write_reports,
 )
-from twintally.sources.delimited import LINE_ORDER, Delivery, read_delimited
+from twintally.sources.delimited import LINE_ORDER, Delivery, read_deliveries, read_delimited
 from twintally.sources.listing import list_deliveries, list_sources
 from twintally.sources.staging import new_path
 
@@ -48,22 +47,16 @@ def compare_deliveries(
     a: Delivery,
     b: Delivery,
     key: Sequence[str] | None = None,
-    row_filter: Mapping[str, str] | None = None,
     strict: bool = False,
     key_sample_rows: int | None = None,
-) -> tuple[Comparison, list[str]]:
+) -> Comparison:
     """Compare two parsed files by the given or detected key, else line by line."""
-    ordered, missing = [], []
-    for side in (a, b):
-        filtered, absent = filter_rows(side.ordered, row_filter or {})
-        ordered.append(filtered)
-        missing += [f"{side.name}: {name}" for name in absent]
-    rows = [df.drop(*LINE_ORDER) for df in ordered]
+    rows = [side.rows for side in (a, b)]
     if key is None:
         key = detect_key_strict(*rows) if strict else detect_key(*rows, sample_rows=key_sample_rows)
     if key:
-        return compare(*rows, key=key, cleaned=True), missing
-    return compare(*ordered, order_by=LINE_ORDER, helpers=LINE_ORDER, cleaned=True, unique_order=True), missing
+        return compare(*rows, key=key, cleaned=True)
+    return compare(a.ordered, b.ordered, order_by=LINE_ORDER, helpers=LINE_ORDER, cleaned=True, unique_order=True)
 
 
 class _Run:
@@ -94,7 +87,8 @@ class _Run:
         row_filter: Mapping[str, str] | None = None,
         **search,
     ) -> PairResult:
-        comparison, unfiltered = compare_deliveries(a, b, row_filter=row_filter, **search)
+        comparison = compare_deliveries(a, b, **search)
+        unfiltered = [f"{side.name}: {name}" for side in (a, b) for name in side.unfiltered]
         reports = pair_reports(comparison, label, a.name, b.name, row_filter=row_filter, unfiltered=unfiltered)
         lines = [issue_lines(d.rejected, label, side, d.name) for d, side in ((a, SIDE_A), (b, SIDE_B))]
         self.write({**reports, "issue_lines": lines[0].unionByName(lines[1])}, label)
@@ -106,8 +100,8 @@ class _Run:
                 a.name,
                 b.name,
                 (a.sep, b.sep),
-                spaced=tuple(d.spaced.first()["n_spaced"] for d in (a, b)),
-                rejected=tuple(d.rejected.count() for d in (a, b)),
+                spaced=(a.n_spaced, b.n_spaced),
+                rejected=(a.n_rejected, b.n_rejected),
                 counts=reports["pair_summary"].select(F.col("rows_with_diff").alias("n_diff")),
                 structure=reports["column_structure"],
             )
@@ -119,6 +113,28 @@ class _Run:
         return PairResult(label, error=str(error))
 
 
+def _read_all(spark: SparkSession, paths: Sequence[str], **options) -> dict[str, Delivery | Exception]:
+    """All files at once; if that fails, the ones that can be read, each by itself, and the others' errors."""
+    paths = sorted(set(paths))
+    try:
+        return dict(zip(paths, read_deliveries(spark, paths, **options)))
+    except Exception:  # one of the files; its pair is the one to fail
+        pass
+    found: dict[str, Delivery | Exception] = {}
+    for path in paths:
+        try:
+            found[path] = read_delimited(spark, path, **options)
+        except Exception as error:
+            found[path] = error
+    return found
+
+
+def _good(delivery: Delivery | Exception) -> Delivery:
+    if isinstance(delivery, Exception):
+        raise delivery
+    return delivery
+
+
 def _each(pairs, work, parallel: int, on_progress: Progress | None) -> list[PairResult]:
     """Run the pairs side by side; their Spark jobs share the executors."""
     results = []
@@ -168,11 +184,12 @@ def run(
     pairs = list(zip(_unique_labels([r["label"] for r in rows]), rows))
     this = _Run(spark, out, format)
     paired = [(label, r) for label, r in pairs if r["path_a"] and r["path_b"]]
+    deliveries = _read_all(spark, [r[f"path_{s}"] for _, r in paired for s in "ab"], sep=sep, row_filter=row_filter)
 
     def work(pair: tuple[str, Row]) -> PairResult:
         label, row = pair
         try:
-            a, b = (read_delimited(spark, row[f"path_{s}"], sep=sep) for s in "ab")
+            a, b = (_good(deliveries[row[f"path_{s}"]]) for s in "ab")
             return this.pair(label, a, b, row_filter, key=key, key_sample_rows=key_sample_rows)
         except Exception as error:  # any failure belongs to its pair
             return this.failed(label, row["name_a"], row["name_b"], error)
@@ -197,7 +214,9 @@ def _empty(spark: SparkSession, name: str) -> Delivery:
         columns=[],
         ordered=spark.createDataFrame([], "_file string, _block bigint, _at bigint"),
         rejected=spark.createDataFrame([], "line_no bigint, line string"),
-        spaced=spark.createDataFrame([(0,)], "n_spaced bigint"),
+        n_rows=0,
+        n_rejected=0,
+        n_spaced=0,
     )
 
 
@@ -243,13 +262,15 @@ def run_families(
     labels = list(_unique_labels([f"{family}.{row['logical_name']}" for family, row, _ in pairs]))
 
     this = _Run(spark, out, format)
+    filled = [row[f"path_{s}"] for _, row, usable in pairs for s in "ab" if row[f"path_{s}"] in usable]
+    deliveries = _read_all(spark, filled, legacy=True)
 
     def work(job) -> PairResult:
         label, (_, row, usable) = job
         names = {s: row[f"name_{s}"] or MISSING_FILE for s in "ab"}
         try:
             a, b = (
-                read_delimited(spark, row[f"path_{s}"], legacy=True)
+                _good(deliveries[row[f"path_{s}"]])
                 if row[f"path_{s}"] in usable
                 else _empty(spark, names[s])
                 for s in "ab"

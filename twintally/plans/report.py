@@ -279,17 +279,22 @@ def issue_log(records: DataFrame) -> dict[str, DataFrame]:
 # -- sinks -----------------------------------------------------------------
 
 
+def partition_folder(name: str, value: str) -> str:
+    """The folder of a partition, as Spark reads it back: all but plain characters are escaped as %XX."""
+    return f"{name}=" + "".join(f"%{ord(c):02X}" if ord(c) < 128 and not (c.isalnum() or c in "._-") else c for c in value)
+
+
 def write_reports(reports: Mapping[str, DataFrame], out: str, label: str | None = None, format: str = "parquet") -> None:
     """One folder per report, one partition folder per label below it.
 
-    CSV has no nested columns, so lists are written as JSON text there.
+    Writing a label again replaces its own partition and no other, also when the report has become empty;
+    labels may have any characters, and several may be written at the same time. CSV has no nested columns, so
+    lists are written as JSON text there.
     """
     for name, df in reports.items():
-        path = f"{out.rstrip('/')}/{name}" + (f"/label={label}" if label else "")
-        if label and "label" in df.columns:
-            df = df.drop("label")
-        writer = (_flat(df) if format == "csv" else df).write.mode("overwrite").format(format)
-        writer.options(**({"header": "true"} if format == "csv" else {})).save(path)
+        path = f"{out.rstrip('/')}/{name}" + (f"/{partition_folder('label', label)}" if label else "")
+        own = (_flat(df) if format == "csv" else df).drop(*(["label"] if label else []))
+        own.write.mode("overwrite").format(format).options(**({"header": "true"} if format == "csv" else {})).save(path)
 
 
 def _flat(df: DataFrame) -> DataFrame:

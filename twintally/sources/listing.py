@@ -43,7 +43,7 @@ def list_sources(spark: SparkSession, path: str) -> DataFrame:
     """
     files = list_files(spark, path)
     plain = files.where(_is(".csv")).select(base_name(F.col("path")).alias("name"), "path", "size")
-    entries = list_entries(files.where(_is(".zip")).select("path"))
+    entries = list_entries(spark, [r["path"] for r in files.where(_is(".zip")).select("path").collect()])
     inside = entries.select(
         base_name(F.col("entry")).alias("name"), F.concat("path", F.lit(ENTRY_MARK), "entry").alias("path"), "size"
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/twintally/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, keep: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     Within a block of ``scratch`` the table goes with the block; with ``keep`` it
     outlives it and goes with the block around it, if there is one.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     blocks = _open.blocks[: len(_open.blocks) - keep]
     if blocks:
         blocks[-1].append(path)

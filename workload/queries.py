@@ -17,6 +17,7 @@ from twintally.operators.keys import detect_key, detect_key_strict, key_uniquene
 from twintally.operators.pairing import find_families, match_files, match_logical
 from twintally.operators.structure import column_structure, infer_types
 from twintally.plans import report
+from twintally.plans.batch import run
 from twintally.sources.delimited import read_delimited
 from twintally.sources.staging import new_path, stage
 from workload import sql
@@ -507,6 +508,23 @@ def scan_cp1252(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("scan_cp1252", scan_cp1252, "SELECT CAST(c_custkey AS VARCHAR) AS C_KEY, c_name || ' \u00e9\u00a3' AS C_NAME FROM customer")
 
 
+def scan_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as part files with line breaks, doubled quotes and separators inside quotes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select("doc_id", "lang", F.concat(F.lit('"'), "source", F.lit('"; ')).alias("SOURCE"), "text", F.lit("end").alias("last"))
+    return read_delimited(spark, delivery(found, "quoted", quoteAll=True, escape='"'), sep=";").rows
+
+
+TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+add(
+    "scan_quoted",
+    scan_quoted,
+    f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, '"' || source || '";' AS "SOURCE",
+       {TRIMMED.format(f"regexp_replace(replace({TRIMMED.format('text')}, chr(160), ' '), '[ ' || chr(9) || ']+', ' ', 'g')")} AS text, 'end' AS last
+FROM documents""",
+)
+
+
 def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with too many fields, whole: every 50th customer has two long fields more."""
     found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("C_KEY"), F.col("c_name").alias("C_NAME"))
@@ -628,6 +646,58 @@ FROM (SELECT label, {names_in('type_mismatches')} AS m FROM r WHERE error IS NUL
 )
 
 
+def one_file(lines: DataFrame, path: str) -> None:
+    """A text file of exactly that path."""
+    spark, parts = lines.sparkSession, new_path(lines.sparkSession, "one-file")
+    lines.coalesce(1).write.text(parts)
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(configuration)
+    files.mkdirs(target.getParent())
+    part = next(s.getPath() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(parts)) if s.getPath().getName().startswith("part-"))
+    if not files.rename(part, target):
+        raise OSError(f"{path} can't be written")
+
+
+def run_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a run over two folders: customers with ';' on one side and '|', blanks and long lines on the other; nations."""
+    root = new_path(spark, "run")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
+    name = F.when(F.col("c_custkey") % 23 == 0, F.concat(F.lit(" "), "c_name", F.lit("\u00a0"))).otherwise(F.col("c_name"))
+    segment = F.when(F.col("c_custkey") % 17 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    more = F.when(F.col("c_custkey") % 37 == 0, F.lit("|x|y")).otherwise("")
+    for side, sep, values in (("old", ";", ["c_name", "c_mktsegment"]), ("new", "|", [name, F.concat(segment, more)])):
+        lines = customers.select(F.concat_ws(sep, F.col("c_custkey").cast("string"), *values).alias("value"))
+        header = spark.createDataFrame([(sep.join(["C_KEY", "C_NAME", "C_SEGMENT"]),)], "value string")
+        one_file(header.unionByName(lines), f"{root}/{side}/CUSTOMER.csv")
+        lines = nations.select(F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
+        one_file(spark.createDataFrame([("N_KEY;N_NAME",)], "value string").unionByName(lines), f"{root}/{side}/NATION.csv")
+    return run(spark, f"{root}/old", f"{root}/new", f"{root}/out")
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_of_files(spark, sf_dir).select(
+        *["label", "name_a", "name_b", "sep_a", "sep_b", "rows_a", "rows_b", "n_diff_rows", "n_only_a", "n_only_b", "n_spaced_a", "n_spaced_b", "n_rejected_a", "n_rejected_b", "error"]
+    )
+
+
+add(
+    "run_records",
+    run_records,
+    """SELECT 'CUSTOMER' AS label, 'CUSTOMER.csv' AS name_a, 'CUSTOMER.csv' AS name_b, ';' AS sep_a, '|' AS sep_b, count(*) AS rows_a,
+       count(*) FILTER (c_custkey % 37 <> 0) AS rows_b, count(*) FILTER (c_custkey % 17 = 0 AND c_custkey % 37 <> 0) AS n_diff_rows,
+       count(*) FILTER (c_custkey % 37 = 0) AS n_only_a, 0 AS n_only_b, 0 AS n_spaced_a, count(*) FILTER (c_custkey % 23 = 0) AS n_spaced_b,
+       0 AS n_rejected_a, count(*) FILTER (c_custkey % 37 = 0) AS n_rejected_b, NULL AS error FROM customer
+UNION ALL SELECT 'NATION', 'NATION.csv', 'NATION.csv', ';', ';', count(*), count(*), 0, 0, 0, 0, 0, 0, 0, NULL FROM nation""",
+)
+add(
+    "issue_spaces",
+    lambda spark, sf: report.issue_spaces(run_of_files(spark, sf)),
+    "SELECT 'CUSTOMER' AS label, 'TO-BE' AS side, 'CUSTOMER.csv' AS name, count(*) FILTER (c_custkey % 23 = 0) AS n_spaced FROM customer",
+)
+
+
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.union_records(
         [
