@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from twintally.functions.text import clean, col, num_diff, percent_text, text
-from twintally.operators.positions import POSITION, with_position
+from twintally.operators.positions import POSITION, running_totals, with_block_position, with_position
 from twintally.sources.staging import stage
 
 # Beyond this many value columns the per-column counts use one row per differing cell.
@@ -249,33 +249,41 @@ class KeyedComparison(Comparison):
         return F.lit(False) if self.expand else F.least(*map(col, self._rows)) > 1
 
     @cached_property
-    def profile(self) -> KeyProfile:
+    def _keys_once(self) -> tuple[KeyProfile, DataFrame]:
+        """The profile and the heavy keys from one pass: what is written is observed on the way.
+
+        Heavy keys are written, so that Spark knows the size: it broadcasts few and shuffles many.
+        """
         a, b, heavy = *map(col, self._rows), self._is_heavy()
         pairs = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
-        light_pairs, heavy_pairs = F.sum(F.when(~heavy, pairs)), F.sum(F.when(heavy, pairs))
-        row = (
-            self.key_counts()
-            .agg(
-                F.sum(a).alias("rows_a"),
-                F.sum(b).alias("rows_b"),
-                light_pairs.alias("light_pairs"),
-                heavy_pairs.alias("heavy_pairs"),
-                F.sum(F.when(b == 0, a)).alias("only_a"),
-                F.sum(F.when(a == 0, b)).alias("only_b"),
-                F.count_if(a > 1).alias("dup_keys_a"),
-                F.count_if(b > 1).alias("dup_keys_b"),
-                F.count_if(heavy).alias("heavy_keys"),
-            )
-            .first()
-        )
-        numbers = {name: int(n or 0) for name, n in row.asDict().items()}
+        metrics = [
+            F.sum(a).alias("rows_a"),
+            F.sum(b).alias("rows_b"),
+            F.sum(F.when(~heavy, pairs)).alias("light_pairs"),
+            F.sum(F.when(heavy, pairs)).alias("heavy_pairs"),
+            F.sum(F.when(b == 0, a)).alias("only_a"),
+            F.sum(F.when(a == 0, b)).alias("only_b"),
+            F.count_if(a > 1).alias("dup_keys_a"),
+            F.count_if(b > 1).alias("dup_keys_b"),
+            F.count_if(heavy).alias("heavy_keys"),
+        ]
+        if self.expand:
+            keys, found = self.a.select(*self._keys).limit(0), self.key_counts().agg(*metrics).first().asDict()
+        else:
+            seen = Observation()
+            keys = stage(self.key_counts().observe(seen, *metrics).where(heavy).select(*self._keys), "heavy-keys")
+            found = seen.get
+        numbers = {name: int(n or 0) for name, n in found.items()}
         matched = numbers.pop("light_pairs") + numbers["heavy_pairs"]
-        return KeyProfile(matched=matched, **numbers)
+        return KeyProfile(matched=matched, **numbers), keys
 
-    @cached_property
+    @property
+    def profile(self) -> KeyProfile:
+        return self._keys_once[0]
+
+    @property
     def _heavy_keys(self) -> DataFrame:
-        # Written, so that Spark knows the size: it broadcasts few keys and shuffles many.
-        return stage(self.key_counts().where(self._is_heavy()).select(*self._keys), "heavy-keys")
+        return self._keys_once[1]
 
     def _light(self, side: DataFrame) -> DataFrame:
         if not self.profile.heavy_keys:
@@ -389,8 +397,7 @@ class KeyedComparison(Comparison):
         totals = [F.sum(col(r)).cast("decimal(19,0)") for r in self._rows]
 
         def started(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-            before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-            return df.withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col(start) < limit)
+            return running_totals(df, order, n, start, limit)
 
         # Each of these keys has a differing pair, so the first ``limit`` of them are enough.
         of_key = groups.groupBy(*keys).agg((totals[0] * totals[1] - F.sum(self._row_product)).alias(n), totals[1].alias(all_b))
@@ -432,12 +439,15 @@ class PositionalComparison(Comparison):
         keep_original: bool = False,
         unique_order: bool = False,
         helpers: Sequence[str] = (),
+        file_order: bool = False,
     ):
-        """``helpers`` are columns that give the order only and are not compared."""
+        """``helpers`` are columns that give the order only and are not compared. ``file_order``: ``order_by`` is the file,
+        block and place of lines that were read from files."""
         helper = set(helpers)
         self.key = [POSITION]
         self.values = [c for c in a.columns if c in set(b.columns) and c not in helper]
-        a, b = (with_position(side, order_by, unique_order).drop(*helper) for side in (a, b))
+        placed = (with_block_position(side, *order_by) if file_order else with_position(side, order_by, unique_order) for side in (a, b))
+        a, b = (side.drop(*helper) for side in placed)
         self.a, self.b, self._same = _prepare(a, b, [], cleaned, keep_original, untouched=POSITION)
 
     @cached_property
@@ -477,7 +487,7 @@ def compare(
     values are normalised already, ``keep_original`` to report values as they came
     while comparing them normalised, ``expand`` to list every pair of keys repeated on
     both sides, ``unique_order`` when ``order_by`` has no ties, ``helpers`` for columns
-    that give the order but are not compared.
+    that give the order but are not compared, ``file_order`` for lines of files.
     """
     if key:
         return KeyedComparison(a, b, key, **options)

@@ -1,10 +1,11 @@
-"""Explicit row positions for tables that have no key."""
+"""Explicit row positions for tables that have no key, and running totals along an order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintally.functions.text import col
@@ -14,6 +15,44 @@ POSITION = "_pos"
 _INDEX_BITS = 33  # fixed by monotonically_increasing_id: partition << 33 | row in partition
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], number: str, name: str, limit: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``number`` over all rows before, by an ``order`` without ties.
+
+    Two levels: ranges of rows get their start from one sum per range, rows theirs from a window inside their
+    range. With ``limit``, only rows with a total below it are kept, and ranges beyond are not sorted.
+    """
+    spark = df.sparkSession
+    ranged = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    starts, start = [], 0
+    for part, total in sorted((r[0], r[1] or 0) for r in ranged.groupBy("__range").agg(F.sum(number)).collect()):
+        if limit is None or start < limit:
+            starts.append((part, Decimal(start)))
+        start += int(total)
+    kind = ranged.select(F.sum(number)).schema[0].dataType
+    starts = spark.createDataFrame(starts, "__range int, __start decimal(38,0)").withColumn("__start", F.col("__start").cast(kind))
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.coalesce(F.sum(number).over(before), F.lit(0)))
+    return (found if limit is None else found.where(F.col(name) < limit)).drop("__range", "__start")
+
+
+def with_block_position(df: DataFrame, file: str, block: str, at: str) -> DataFrame:
+    """Add ``_pos`` = 1..n along (file, block, at) by prefix sums of the blocks' numbers of rows; nothing is sorted but blocks.
+
+    A block is a part of a file that one task has read, so its rows fit into a task.
+    """
+    blocks = stage(df.groupBy(col(file), col(block)).agg(F.count("*").alias("_n")), "blocks")
+    starts, start = [], 0
+    for name, n in sorted(tuple(r) for r in blocks.groupBy(col(file)).agg(F.sum("_n")).collect()):
+        starts.append((name, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(starts, f"`{file}` string, _start bigint")
+    earlier = Window.partitionBy(col(file)).orderBy(col(block)).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(starts, file)
+    blocks = stage(blocks.select(col(file), col(block), (F.col("_start") + F.col("_before")).alias("_start")), "block-starts")
+    index = F.row_number().over(Window.partitionBy(col(file), col(block)).orderBy(col(at)))
+    return df.withColumn(POSITION, index).join(blocks, [file, block]).withColumn(POSITION, F.col("_start") + F.col(POSITION)).drop("_start")
+
+
 def with_position(df: DataFrame, order_by: Sequence[str], unique: bool = False) -> DataFrame:
     """Add ``_pos`` = 1..n by ``order_by``, ties broken by all other columns.
 

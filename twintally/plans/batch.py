@@ -56,7 +56,7 @@ def compare_deliveries(
         key = detect_key_strict(*rows) if strict else detect_key(*rows, sample_rows=key_sample_rows)
     if key:
         return compare(*rows, key=key, cleaned=True)
-    return compare(a.ordered, b.ordered, order_by=LINE_ORDER, helpers=LINE_ORDER, cleaned=True, unique_order=True)
+    return compare(a.ordered, b.ordered, order_by=LINE_ORDER, helpers=LINE_ORDER, cleaned=True, file_order=True)
 
 
 class _Run:
