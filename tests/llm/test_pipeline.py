@@ -90,7 +90,7 @@ def test_empty_tables(spark, docs, tmp_path):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_gives_the_rows_of_the_query(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     expected = connection.execute(SQL[name])
     columns = [d[0] for d in expected.description]
