@@ -41,6 +41,34 @@ def test_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in out) >= 195
 
 
+def test_suffix_shares_leave_out_the_own_label(spark):
+    """All labelled URLs count, each once; one labelled both ways by half of its rows is one to block."""
+    rng = random.Random(3)
+    labelled = [(f"a://h{rng.randrange(40)}.s{rng.randrange(6)}.t{rng.randrange(3)}/p", rng.randrange(2)) for _ in range(300)]
+    known = {u: [y for v, y in labelled if v == u] for u, _ in labelled}
+    known = {u: float(sum(y) * 2 >= len(y)) for u, y in known.items()}
+    mean = sum(known.values()) / len(known)
+    rows = spark.createDataFrame([(u, u[4:-2], "/p", y) for u, y in known.items()], "url string, host string, path string, label double")
+    rows = urls.lexical(rows)
+    counts = {suffix: urls.suffix_counts(rows, suffix) for suffix in ("top", "site")}
+    for own in (True, False):
+        for r in urls.featured(rows, counts, mean, own).collect():
+            for suffix in ("top", "site"):
+                alike = [y for u, y in known.items() if u[4:-2].split(".")[-1 if suffix == "top" else -2 :] == r["host"].split(".")[-1 if suffix == "top" else -2 :]]
+                total, n = sum(alike) - own * r["label"], len(alike) - own
+                assert abs(r[f"{suffix}_blocked"] - (total + urls.PRIOR * mean) / (n + urls.PRIOR)) < 1e-12
+
+
+def test_rules_teach_and_labels_may_conflict(spark, monkeypatch):
+    """Trained on the rules' own verdicts, and on fewer URLs than there are: no row is lost, hosts like the blocked ones are blocked."""
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 60)
+    rows = [(k, f"http://a{k}-{k * 7}.net/?x={k}" if k % 2 else f"https://www.b{k}.org/fr/t") for k in range(200)] + [(k, f"http://a{k}-{k}.biz/?x={k}") for k in range(200, 220)]
+    out = {r["page_id"]: r for r in urls.judge_urls(pages(spark, rows + rows[:3]), URL_RULES).collect()}
+    assert len(out) == len(rows) and all(out[k]["verdict"] == "block" and out[k]["rule"] is None for k in range(200, 220))
+    labelled = spark.createDataFrame([("a://b.c/", 0), ("a://b.c/", 1), ("a://d.e/", 0), (None, 1), ("a://f.g/", None)], "url string, label int")
+    assert urls.judge_urls(pages(spark, [(1, "a://x.y/")]), [], labelled).count() == 1
+
+
 def test_without_labels_and_rows(spark):
     assert [r["verdict"] for r in urls.judge_urls(pages(spark, [(1, "a://b.c/")]), URL_RULES).collect()] == ["allow"]
     assert urls.judge_urls(pages(spark, []), URL_RULES).collect() == []

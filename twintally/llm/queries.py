@@ -36,15 +36,9 @@ def op2_fm_index_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-#: Words of hosts whose URLs are labelled as ones to block; all other URLs count as ones to allow.
-BLOCKED_WORDS = "adult|bet|casino|cheap|loan|pills|porn|spam|viagra|xxx"
-
-
 def op3_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables have no labels of URLs, so the trees learn from the words of hosts; a host's words are no feature."""
-    pages = table(spark, sf_dir, "pages")
-    word = urls.host_of(F.col("url")).rlike(rf"(^|[.-])({BLOCKED_WORDS})([.-]|$)")
-    return urls.judge_urls(pages, URL_RULES, pages.select("url", word.cast("double").alias("label"))).drop("blocked")
+    """The given tables have no labels of URLs, so the trees learn from the URLs that the rules decide."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("blocked")
 
 
 def op4_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ A rule fits its host and all hosts below it, for paths that begin with the rule'
 Other URLs are judged by boosted trees over their length, depth, shares of digits and marks, character entropy, numbers of
 parameters, and what the labelled URLs say of their suffixes. Labelled URLs are given, or are those that rules decide.
 
-The trees are trained on at most ``TRAIN_ROWS`` labelled URLs, those with the least hashes; every URL is judged.
+Labels are taken by distinct URL: one labelled both ways counts as to block if at least half of its rows do. What suffixes
+say is counted over all labelled URLs and joined by suffix; for training, without the URL's own label. The trees are trained on at
+most ``TRAIN_ROWS`` labelled URLs, half of them for each label, those with the least hashes, weighted by how many URLs they
+stand for; every URL is judged.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; without labels of both kinds every
 URL without a rule is allowed; repeated rows are judged alike; other columns don't matter; an empty table gives no rows.
@@ -79,10 +82,20 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_shares(train: DataFrame, suffix: str) -> DataFrame:
-    """(suffix, share): how much of each suffix is blocked, drawn towards the share of all."""
-    mean = train.agg(F.avg("label")).first()[0]
-    return train.groupBy(suffix).agg(((F.sum("label") + F.lit(PRIOR * mean)) / (F.count("*") + F.lit(PRIOR))).alias(f"{suffix}_blocked"))
+def suffix_counts(known: DataFrame, suffix: str) -> DataFrame:
+    """(suffix, suffix_sum, suffix_n): the labels of the labelled URLs with each suffix, and their number."""
+    return known.groupBy(suffix).agg(F.sum("label").alias(f"{suffix}_sum"), F.count("*").alias(f"{suffix}_n"))
+
+
+def featured(urls: DataFrame, counts: dict[str, DataFrame], mean: float, own: bool) -> DataFrame:
+    """``urls`` (lexical) with the shares of their suffixes, drawn towards the share of all; ``own``: without their own label."""
+    for suffix, counted in counts.items():
+        urls = urls.join(counted, suffix, "left")
+        total, n = F.coalesce(f"{suffix}_sum", F.lit(0.0)), F.coalesce(f"{suffix}_n", F.lit(0))
+        if own:
+            total, n = total - F.col("label"), n - 1
+        urls = urls.withColumn(f"{suffix}_blocked", (total + PRIOR * mean) / (n + PRIOR))
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(urls)
 
 
 def judge_urls(
@@ -99,20 +112,18 @@ def judge_urls(
         known = rows.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled.verdict") == "block").cast("double").alias("label"))
     else:
         known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
-    train = stage(known.orderBy(F.xxhash64("url"), "url", "label").limit(TRAIN_ROWS), "labelled-urls")
     out = [F.col("id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule")]
-    if train.agg(F.countDistinct("label")).first()[0] < 2:
+    known = known.groupBy("url", "host", "path").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+    known = stage(lexical(known), "labelled-urls")
+    numbers = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(numbers) < 2:
         return rows.select(*out, F.coalesce("ruled.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
-    # Suffixes come from at most TRAIN_ROWS rows.
-    shares = [F.broadcast(stage(suffix_shares(lexical(train), suffix), "suffixes")) for suffix in ("top", "site")]
-    mean = train.agg(F.avg("label")).first()[0]
-
-    def featured(urls: DataFrame) -> DataFrame:
-        urls = lexical(urls).join(shares[0], "top", "left").join(shares[1], "site", "left")
-        urls = urls.fillna(mean, ["top_blocked", "site_blocked"])
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(urls)
-
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(featured(train).select("features", "label"))
-    judged = model.transform(featured(rows)).withColumn("p", vector_to_array("probability")[1])
+    mean = numbers[1.0] / (numbers[0.0] + numbers[1.0])
+    counts = {suffix: stage(suffix_counts(known, suffix), "suffixes") for suffix in ("top", "site")}
+    most = TRAIN_ROWS // 2
+    samples = [known.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(most).withColumn("weight", F.lit(n / min(n, most))) for k, n in numbers.items()]
+    train = featured(samples[0].unionByName(samples[1]), counts, mean, own=True)
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(train.select("features", "label", "weight"))
+    judged = model.transform(featured(lexical(rows), counts, mean, own=False)).withColumn("p", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled.verdict", F.when(F.col("p") > 0.5, "block").otherwise("allow"))
     return judged.select(*out, verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("p")).alias("blocked"))
