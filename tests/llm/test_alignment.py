@@ -1,8 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -95,3 +99,60 @@ def test_query_over_a_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, out.collect())) == sorted(brute(rows))
     assert [t for _, t in out.dtypes] == ["bigint"] * 7 + ["string"]
+
+
+def runner(make, monkeypatch, *args):
+    """The function over Arrow batches that an operator's step gives to Spark."""
+    found = []
+    with monkeypatch.context() as patch:
+        patch.setattr(alignment, "map_batches", lambda df, run, schema: found.append(run) or df)
+        make(*args)
+    return found[0]
+
+
+def steps(encoded, monkeypatch):
+    """The runs of the steps that count and score, with the columns they take."""
+    regular = np.arange(len(alignment.vocabulary_a(A).entries))
+    best = np.full(len(alignment.piece_encoder(B).vocabulary.entries), 5)
+    heavy = np.array([1 << 32 | 2, 7 << 32 | 9]), np.array([5, 4])
+    monkeypatch.setattr(alignment, "F", MagicMock())
+    return [(runner(alignment.count_links, monkeypatch, MagicMock(), A, B), [6, 7, 8]), (runner(alignment.score, monkeypatch, encoded, regular, best, heavy, A, B), range(9))]
+
+
+def links(lists):
+    """A batch of encoded documents with the given regular links and pairs of other links."""
+    regular, a, b = ([list(map(int, x[k])) for x in lists] for k in range(3))
+    numbers = [pa.array(range(len(lists)), pa.int64())] * 5
+    columns = [*numbers, pa.array([""] * len(lists)), *(pa.array(x, pa.list_(pa.int32())) for x in (regular, a, b))]
+    return pa.RecordBatch.from_arrays(columns, "row id n_a n_b n_groups groups_sha256 regular odd_a odd_b".split())
+
+
+def test_steps_over_links_take_large_batches_by_slices(monkeypatch):
+    # Two million regular links and as many others in one batch: arrays over all of them would take 16 MB each.
+    one = np.arange(1000)
+    batch = links([(one, one + 1, one)] * 2000)
+    for run, columns in steps(MagicMock(), monkeypatch):
+        for _ in run(iter([batch.slice(0, 10).select(list(columns))])):
+            pass
+        tracemalloc.start()
+        for _ in run(iter([batch.select(list(columns))])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6
+
+
+def test_slices_of_links_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    some = lambda n: (rng.integers(0, 9, n % 5), *rng.integers(0, 12, (2, n % 7)))
+    batch = links([some(n) for n in rng.integers(0, 35, 200)]).slice(11, 150)
+    for k, (run, columns) in enumerate(steps(MagicMock(), monkeypatch)):
+        outs = []
+        for limit in (1, 7, 1 << 18):
+            monkeypatch.setattr(alignment, "COUNTED_LINKS", limit)
+            rows = pa.Table.from_batches(list(run(iter([batch.select(list(columns)), batch.slice(0, 0).select(list(columns))])))).to_pylist()
+            counts = Counter()
+            for r in rows if k == 0 else ():
+                counts[r["a"], r["b"], r["regular"]] += r["n"]
+            outs.append(rows if k else counts)
+        assert outs[0] == outs[1] == outs[2] and len(outs[0]) > 100

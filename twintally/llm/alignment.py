@@ -38,6 +38,9 @@ from twintally.llm.words import map_batches, slices
 from twintally.sources.staging import scratch, stage
 
 HEAVY = 1 << 16
+#: Texts are encoded and links are counted by runs of whole rows of about so many bytes or links, however large an Arrow batch is.
+ENCODED_BYTES = 1 << 18
+COUNTED_LINKS = 1 << 18
 SPACE_MARK = "\u2581"
 
 
@@ -204,7 +207,7 @@ def encode_both(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(2)):
+            for a, b, data, offsets in slices(batch.column(2), ENCODED_BYTES):
                 rows = [(x[0], x[1], x[2], hashlib.sha256(x[3].tobytes()).hexdigest() if x[0] else "", *x[4:]) for x in aligned(*with_space(data, offsets), path_a, path_b)]
                 columns = list(zip(*rows))
                 numbers = [pa.array(x, pa.int64()) for x in columns[:3]]
@@ -223,6 +226,17 @@ def flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def link_slices(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``COUNTED_LINKS`` links in the columns ``first`` (regular) and ``first + 1`` (others)."""
+    for batch in batches:
+        links = sum(np.append(0, np.cumsum(batch.column(k).value_lengths().to_numpy())) for k in (first, first + 1))
+        row = 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(links, links[row] + COUNTED_LINKS, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def count_links(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(a, b, regular, n): how many links hold each pair."""
 
@@ -233,7 +247,7 @@ def count_links(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
         def counted(a: np.ndarray, b: np.ndarray, regular: bool, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([regular] * len(a), pa.bool_()), pa.array(n, pa.int64())], ["a", "b", "regular", "n"])
 
-        for batch in batches:
+        for batch in link_slices(batches, 0):
             total += np.bincount(flat(batch.column(0)), minlength=len(total))
             pairs, n = np.unique(flat(batch.column(1)) << 32 | flat(batch.column(2)), return_counts=True)
             yield counted(pairs >> 32, pairs & 0xFFFFFFFF, False, n)
@@ -250,7 +264,7 @@ def score(encoded: DataFrame, regular: np.ndarray, best: np.ndarray, heavy: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = same_bytes(path_a, path_b)
         is_best = (same >= 0) & (regular == best[same]) & (regular > 0)
-        for batch in batches:
+        for batch in link_slices(batches, 6):
             rows = len(batch)
             owner = np.repeat(np.arange(rows), batch.column(6).value_lengths().to_numpy())
             a = flat(batch.column(6))
