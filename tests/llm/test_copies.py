@@ -2,6 +2,8 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from twintally.llm import copies
@@ -103,3 +105,36 @@ def test_classes_hold_when_the_input_is_split_anew(spark, tmp_path, monkeypatch)
     with splits_anew(spark, copies, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in copies.classes(table, of_files=True).collect()} == {k: k % 400 for k in range(1200)}
         assert {r["doc_id"] % 400 for r in copies.one_of_each(table, of_files=True).collect()} == set(range(400))
+
+
+def test_long_lists_are_summed_where_they_are_read(docs, monkeypatch):
+    monkeypatch.setattr(copies, "SUMMED_LIST", 8)
+    rows = cases()
+    assert sorted(map(str, copies.classes(docs(rows)).select("doc_id", "n_shingles", "component_id").collect())) == sorted(
+        str(Row(doc_id=i, n_shingles=n, component_id=c)) for i, n, c in brute(rows)
+    )
+
+
+def test_no_task_gets_a_long_list(spark, docs, monkeypatch):
+    monkeypatch.setattr(copies, "SUMMED_LIST", 8, raising=False)
+    dealt, own = {}, copies.stage
+
+    def stage(df, name, *args, **named):
+        if name in ("shared", "open-lists"):
+            rows = df.groupBy("token", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+            dealt[name] = rows.groupBy("token").agg(F.sum("n"), F.max("n")).collect()
+        return own(df, name, *args, **named)
+
+    # 26 of each two documents' 36 shingles are common, so they have common prefixes and no links.
+    rng = random.Random(4)
+    rows = [(k, " ".join([f"w{j}" for j in range(30)] + [f"u{rng.randrange(10**9)}" for _ in range(5)])) for k in range(90)]
+    monkeypatch.setattr(copies, "stage", stage)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = copies.classes(docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, found)) == sorted(brute(rows)) == [(k, 31, k) for k in range(90)]
+    for name in ("shared", "open-lists"):
+        long = [(total, most) for _, total, most in dealt[name] if total > 8]
+        assert long and all(total == 90 and most <= 60 for total, most in long), (name, long)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,6 +44,8 @@ LOW = np.uint64((1 << 56) - 1)
 BROADCAST_ROWS = 500_000
 #: Longer lists of the index are joined with the prefixes at hand.
 LONG_LIST = 32
+#: Longer lists of the index are not dealt by shingle: what is summed over them is summed where they are read, and broadcast.
+SUMMED_LIST = 1 << 10
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -149,16 +151,49 @@ def large_enough(overlap, n, m, percent: int):
     return (100 + percent) * overlap >= percent * (n + m)
 
 
+def often_level(levels: np.ndarray) -> int:
+    """The level from which on a shingle may have a list longer than ``SUMMED_LIST``, and than those of most places."""
+    usual = float((2.0 ** (levels / 4)).mean())
+    return int(4 * np.log2(max(SUMMED_LIST, 16 * usual)))
+
+
+def index_of(prefixes: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(gid, token, n_groups, other) of the shingles that two groups or more have in their prefixes.
+
+    Only shingles of high levels can have long lists. Those are dealt by group and shingle, and counted in partial sums.
+    """
+    per_token = W.partitionBy("token")
+    sums = {"n_groups": F.count("*"), "other": F.max("gid")}
+    level = lambda token: F.shiftrightunsigned(token, 56) >= often_level(levels)
+    lists = lambda rows: rows.select("gid", F.explode("prefix").alias("token"))
+    # A prefix has its shingles by level.
+    often = lists(prefixes.where(level(F.element_at("prefix", -1)))).where(level(F.col("token")))
+    often = stage(often.distinct(), "frequent-shingles")
+    long = often.groupBy("token").agg(*(x.alias(k) for k, x in sums.items())).where(F.col("n_groups") > SUMMED_LIST)
+    long = small(stage(long, "long-list-sums"))
+    rest = lists(prefixes).where(~level(F.col("token"))).unionByName(often.join(long, "token", "left_anti"))
+    rest = rest.repartition("token").distinct().withColumns({k: x.over(per_token) for k, x in sums.items()})
+    # The pair of a list of two is one row.
+    rest = rest.where("n_groups > 2 OR (n_groups = 2 AND gid <> other)")
+    return rest.unionByName(often.join(long, "token"))
+
+
+def with_sums(entries: DataFrame, **sums: Column) -> DataFrame:
+    """Entries of the index (token, n_groups, ...) with sums over all entries of their token."""
+    long = entries.where(F.col("n_groups") > SUMMED_LIST)
+    of_long = stage(long.groupBy("token").agg(*(x.alias(k) for k, x in sums.items())), "long-list-sums")
+    rest = entries.where(F.col("n_groups") <= SUMMED_LIST)
+    return rest.withColumns({k: x.over(W.partitionBy("token")) for k, x in sums.items()}).unionByName(long.join(small(of_long), "token"))
+
+
 def close_groups(shared: DataFrame, placed: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (g, h) of groups that are not all in one component and whose prefixes allow the similarity.
 
     Pairs from short lists are counted first; those with enough are then compared by their prefixes. The entries of long
     lists carry their prefixes, so that a pair of a large family is compared within the join, at the first such list.
     """
-    spans = placed.groupBy("gid").agg(F.min("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    per_token = W.partitionBy("token")
-    entries = shared.where("n_groups > 2").drop("other").join(spans, "gid")
-    entries = entries.withColumns({"least": F.min("low").over(per_token), "most": F.max("high").over(per_token)})
+    spans = stage(placed.groupBy("gid").agg(F.min("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")), "spans")
+    entries = with_sums(shared.where("n_groups > 2").drop("other").join(spans, "gid"), least=F.min("low"), most=F.max("high"))
     entries = stage(entries.where("least <> most").drop("least", "most"), "open-lists")
 
     def prefixes_of(gids: DataFrame) -> DataFrame:
@@ -218,15 +253,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
         nodes = stage(nodes, "nodes")
         prefixes = described.where("prefix IS NOT NULL")
 
-        lists = prefixes.select("gid", F.explode("prefix").alias("token")).repartition("token").distinct()
-        per_token = W.partitionBy("token")
-        shared = lists.withColumns({"n_groups": F.count("*").over(per_token), "other": F.max("gid").over(per_token)})
-        # The pair of a list of two is one row.
-        shared = stage(shared.where("n_groups > 2 OR (n_groups = 2 AND gid <> other)"), "shared")
+        shared = stage(index_of(prefixes, levels), "shared")
         sizes = nodes.groupBy("gid").agg(F.min("n").alias("n"))
         longer = shared.where("n_groups > 2").drop("other")
-        popular = longer.groupBy("gid").agg(F.sum("n_groups").alias("popular"))
-        ranked = longer.join(popular, "gid").withColumn("hub", F.max(F.struct("popular", "gid")).over(per_token))
+        popular = stage(longer.groupBy("gid").agg(F.sum("n_groups").alias("popular")), "popular")
+        ranked = with_sums(longer.join(popular, "gid"), hub=F.max(F.struct("popular", "gid")))
         stars = ranked.where("gid <> hub.gid").select(F.col("hub.gid").alias("g"), F.col("gid").alias("h"))
         stars = stars.unionByName(shared.where("n_groups = 2").select(F.col("gid").alias("g"), F.col("other").alias("h")))
         stars = stars.groupBy("g", "h").agg(F.count("*").alias("common"))
