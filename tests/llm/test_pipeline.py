@@ -1,5 +1,6 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ from tests.llm import test_copies, test_leaks, test_lines, test_rules
 from tests.llm.test_packing import TOKENIZER
 from twintally.llm.queries import QUERIES, SQL
 from twintally.llm.rules import Limits
+from twintally.sources.staging import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +99,24 @@ def test_sql_gives_the_rows_of_the_query(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert sorted(columns) == sorted(df.columns)
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(expected.fetchall())
+
+
+def kinds_of_tables(spark):
+    """Names of the staged tables that are there, with how many of each."""
+    found = Path(f"{shared_dir(spark).removeprefix('file://')}/twintally/{spark.sparkContext.applicationId}").glob("*")
+    return Counter(x.name.rpartition("-")[0] for x in found)
+
+
+def test_stages_leave_no_tables_that_nothing_reads_any_more(spark, docs, tmp_path):
+    rows, items = tables(random.Random(5))
+    docs(rows, lang="en", n_chars=1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, test_leaks.ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = kinds_of_tables(spark)
+    assert corpus_pipeline.line_dedup(spark, table, str(tmp_path)).count()
+    assert set(kinds_of_tables(spark) - before) == {"files", "lines-of-rows"}
+    before = kinds_of_tables(spark)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = kinds_of_tables(spark) - before
+    assert left["decontamination"] == 1
+    assert not left.keys() & {"quality_rules", "line_dedup", "jaccard_join", "lines-of-rows", "copies", "described"}

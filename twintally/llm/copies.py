@@ -34,7 +34,7 @@ from twintally.llm.components import components
 from twintally.llm.frames import numbered
 from twintally.llm.shingles import shingle_sets
 from twintally.llm.words import map_batches, mix, slices
-from twintally.sources.staging import scratch, stage
+from twintally.sources.staging import freeing, scratch, stage
 
 PERCENT = 75
 SKETCH_BITS = 20
@@ -85,7 +85,9 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
     parts = map_batches(texts, count, "chunk int, counts binary")
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for chunk, part in map_batches(parts.repartition("chunk"), add, "chunk int, counts binary").collect():
+    with freeing(texts.sparkSession):
+        sums = map_batches(parts.repartition("chunk"), add, "chunk int, counts binary").collect()
+    for chunk, part in sums:
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.int64)
     return np.minimum(255, 4 * np.log2(total + 1)).astype(np.uint8)
 

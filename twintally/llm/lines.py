@@ -249,16 +249,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines", "n_dropped")
     numbers = numbered(docs, ROW, of_files)
     rows = numbers.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = stage(find_lines(rows), "lines")
-    # The keys of equal lines are equal.
-    first = lines.groupBy("hash").agg(F.min(order()).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    first = stage(first, "first-lines")
     with scratch(docs.sparkSession):
-        near = stage(near_lines(lines, first, rows), "near-lines", keep=True).withColumn("near", F.lit(True))
-    changed = first.join(near, "hash", "left").where("n > 1 OR near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.drop("keys").join(changed, "hash").where(F.col("near") | (order() != F.col("first")))
-    gone = gone.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("line").alias(GONE))
-    counts = lines.groupBy(F.col("row").alias(ROW)).agg(F.count("*").alias(COUNT))
-    found = numbers.join(counts.join(gone, ROW, "left"), ROW, "left").withColumn(text_col, F.col(text_col).cast("string"))
+        lines = stage(find_lines(rows), "lines")
+        # The keys of equal lines are equal.
+        first = lines.groupBy("hash").agg(F.min(order()).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+        first = stage(first, "first-lines")
+        with scratch(docs.sparkSession):
+            near = stage(near_lines(lines, first, rows), "near-lines", keep=True).withColumn("near", F.lit(True))
+        changed = first.join(near, "hash", "left").where("n > 1 OR near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        gone = lines.drop("keys").join(changed, "hash").where(F.col("near") | (order() != F.col("first")))
+        gone = gone.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("line").alias(GONE))
+        counts = lines.groupBy(F.col("row").alias(ROW)).agg(F.count("*").alias(COUNT))
+        # All that the result needs of the lines.
+        found = stage(counts.join(gone, ROW, "left"), "lines-of-rows", keep=True)
+    found = numbers.join(found, ROW, "left").withColumn(text_col, F.col(text_col).cast("string"))
     out = cut_lines(found.select(*docs.columns, COUNT, GONE), text_col)
     return out.select(*docs.columns, F.coalesce(COUNT, F.lit(0)).cast("bigint").alias("n_lines"), F.greatest(F.size(GONE), F.lit(0)).cast("bigint").alias("n_dropped"))
