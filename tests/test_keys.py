@@ -1,11 +1,15 @@
+import glob
 import random
 from itertools import combinations
 
 import pytest
 
+from tests.test_staging import shuffle_files
 from twintally import detect_key, detect_key_strict
+from twintally.operators import keys
 from twintally.operators.keys import key_uniqueness
 from twintally.operators.structure import column_structure, infer_types
+from twintally.sources.staging import shared_dir
 
 
 def brute_key(columns, a, b):
@@ -87,3 +91,54 @@ def test_structure_keeps_named_empty_columns(spark):
         ("gone", "Si'", "No", 3, None, "TESTO", "—", "—", "SOLO AS-IS"),
         ("fresh", "No", "Si'", None, 3, "—", "TESTO", "—", "SOLO TO-BE"),
     ]
+
+
+@pytest.fixture
+def small_passes(monkeypatch):
+    """Few rows count as many: several passes, shuffles by one column, popular values apart."""
+    for name, value in {"PASS_ROWS": 150, "TASK_ROWS": 16, "TASK_TUPLES": 8, "BUCKETS": 16, "POPULAR": 8}.items():
+        monkeypatch.setattr(keys, name, value)
+
+
+def uneven_sides(seed):
+    """Nulls, blanks, a value of half the rows, and a column that nearly tells rows apart."""
+    rng = random.Random(seed)
+    columns = ["a", "b", "c", "d"]
+    value = {
+        "a": lambda: rng.choice([None, "", "7", *map(str, range(100, 400))]) if rng.random() < 0.6 else "7",
+        "b": lambda: rng.choice([None, "", "x"]),
+        "c": lambda: str(rng.randrange(5)),
+        "d": lambda: str(rng.randrange(200)),
+    }
+    return columns, [[tuple(value[c]() for c in columns) for _ in range(n)] for n in (300, 250)]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_counts_by_passes_are_those_of_brute_force(spark, small_passes, monkeypatch, seed):
+    columns, sides = uneven_sides(seed)
+    frames = [spark.createDataFrame(side, ", ".join(f"{c} string" for c in columns)) for side in sides]
+    combos = [c for n in range(1, 5) for c in combinations(columns, n)]
+    kinds, shared, summed = [], keys._shared, keys._summed
+    monkeypatch.setattr(keys, "_shared", lambda *x: kinds.append("shared") or shared(*x))
+    monkeypatch.setattr(keys, "_summed", lambda *x: kinds.append(("summed", x[3])) or summed(*x))
+    found = {r["columns"]: (r["distinct_a"], r["distinct_b"]) for r in key_uniqueness(*frames, combos).collect()}
+    for combo in combos:
+        places = [columns.index(c) for c in combo]
+        assert found[",".join(combo)] == tuple(len({tuple(r[i] or "" for i in places) for r in side}) for side in sides)
+    assert "shared" in kinds and any(x[1] > 1 for x in kinds if x != "shared")
+    assert detect_key(*frames) == brute_key(columns, *sides)
+
+
+def test_counting_leaves_no_shuffles_and_no_tables(spark, small_passes):
+    columns, sides = uneven_sides(9)
+    frames = [spark.createDataFrame(side, ", ".join(f"{c} string" for c in columns)) for side in sides]
+    before, staged = shuffle_files(spark), set(tables_of(spark))
+    key_uniqueness(*frames, [("a",), ("a", "d"), ("a", "b", "d"), ("a", "c", "d")]).collect()
+    # One row of sums may be left.
+    assert len({x.split("_")[1] for x in shuffle_files(spark) - before}) <= 1
+    detect_key(*frames)
+    assert set(tables_of(spark)) == staged
+
+
+def tables_of(spark):
+    return glob.glob(f"{shared_dir(spark).removeprefix('file://')}/twintally/{spark.sparkContext.applicationId}/*")
