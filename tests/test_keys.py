@@ -142,3 +142,46 @@ def test_counting_leaves_no_shuffles_and_no_tables(spark, small_passes):
 
 def tables_of(spark):
     return glob.glob(f"{shared_dir(spark).removeprefix('file://')}/twintally/{spark.sparkContext.applicationId}/*")
+
+
+def brute_strict(columns, sides):
+    def single(places):
+        return all(len({tuple(r[i] or "" for i in places) for r in side}) == len(side) for side in sides)
+
+    for i, c in enumerate(columns):
+        if single([i]) and all(r[i] is not None for side in sides for r in side):
+            return [c]
+    return next(([columns[i], columns[j]] for i, j in combinations(range(len(columns)), 2) if single([i, j])), [])
+
+
+@pytest.mark.parametrize("seed", [0, 3, 4])
+def test_strict_key_by_slices_is_that_of_brute_force(spark, small_passes, monkeypatch, seed):
+    monkeypatch.setattr(keys, "SLICE_ROWS", 100)
+    monkeypatch.setattr(keys, "COMBINATIONS_PER_JOB", 4 if seed % 2 else 16)
+    columns, sides = uneven_sides(seed)
+    rng, doubles = random.Random(seed), seed in (2, 3)
+    # e and f are a key together, but for one double far on; g is one alone, but for a null.
+    sides = [[(*r, str(k // 20), str(k % 20), None if k == 33 else f"g{k}") for k, r in enumerate(side)] for side in sides]
+    for side in sides[:doubles]:
+        side[7] = (*side[7][:4], *side[8][4:6], "g8")
+    for side in sides:
+        rng.shuffle(side)
+    order = columns + ["e", "f", "g"][: 2 if seed < 4 else 3]
+    sides = [[r[: len(order)] for r in side] for side in sides]
+    frames = [spark.createDataFrame(side, ", ".join(f"{c} string" for c in order)) for side in sides]
+    expected = brute_strict(order, sides)
+    assert detect_key_strict(*frames) == expected
+    assert bool(expected) is not doubles
+
+
+def test_strict_search_counts_no_slice_that_it_can_do_without(spark, small_passes, monkeypatch):
+    monkeypatch.setattr(keys, "SLICE_ROWS", 100)
+    columns, sides = uneven_sides(4)
+    sides = [[(*r, str(k)) for k, r in enumerate(side)] for side in sides]
+    frames = [spark.createDataFrame(side, ", ".join(f"{c} string" for c in [*columns, "k"])) for side in sides]
+    whole, tuples, staged = [], keys._tuples, set(tables_of(spark))
+    monkeypatch.setattr(keys, "_tuples", lambda values, combos, skip_null=False, passes=1, which=0: (passes <= 4 and whole.append(tuple(combos))) or tuples(values, combos, skip_null, passes, which))
+    monkeypatch.setattr(keys, "_counts", None)
+    assert detect_key_strict(*frames) == ["k"]
+    assert set(whole) >= {((4,),)} and all(len(x) == 1 for x in whole)
+    assert set(tables_of(spark)) == staged
